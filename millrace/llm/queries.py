@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, line_dedup, mixing
+from millrace.llm import bpe, chat, fingerprint, knn, line_dedup, mixing, ngram_join, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
+    "op6_knn": knn.op6_knn,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_chat_format": chat.op10_chat_format,
 }
