@@ -61,19 +61,23 @@ def best_paths(nodes: DataFrame, all_branches: bool = False) -> DataFrame:
     present = nodes.select(F.col("node").alias("p"))
     links = cut(nodes.join(present, nodes["parent"] == present["p"], "left").select("tree", "node", F.col("p").alias("parent"), "score"))
     # Rounds: anc is the 2^k-th ancestor; dist and sum count the nodes and scores from node up to, without, anc.
-    steps = [links.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("dist"), F.col("score").alias("sum"))]
-    while len(steps) < 40 and not (last := steps[-1]).where("anc IS NOT NULL").isEmpty():
-        up = last.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("dist").alias("d2"), F.col("sum").alias("s2"))
-        steps.append(cut(last.join(up, last["anc"] == up["n2"], "left").select("node", F.col("a2").alias("anc"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum"))))
-    rooted = steps[-1].where("anc IS NULL").select(F.col("node").alias("leaf"), "dist", F.col("sum").alias("branch_score"))
+    # Nodes that have reached their root leave the rounds.
+    state = links.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("dist"), F.col("score").alias("sum"))
+    steps = []
+    while len(steps) < 40 and not (going := state.where("anc IS NOT NULL")).isEmpty():
+        steps.append(going.select("node", "anc"))
+        up = state.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("dist").alias("d2"), F.col("sum").alias("s2"))
+        moved = going.join(up, going["anc"] == up["n2"]).select("node", F.col("a2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("sum") + F.col("s2")).alias("sum"))
+        state = cut(moved.unionByName(state.where("anc IS NULL")))
+    rooted = state.where("anc IS NULL").select(F.col("node").alias("leaf"), "dist", F.col("sum").alias("branch_score"))
     parents = links.where("parent IS NOT NULL").select(F.col("parent").alias("leaf")).distinct()
     leaves = rooted.join(parents, "leaf", "left_anti").join(links.select(F.col("node").alias("leaf"), "tree"), "leaf")
     if not all_branches:
         rank = F.struct((-F.col("branch_score")).alias("lower"), "leaf", "dist", "branch_score")
         leaves = leaves.groupBy("tree").agg(F.min(rank).alias("best")).select("tree", "best.leaf", "best.dist", "best.branch_score")
     path = leaves.select("tree", F.col("leaf").alias("branch"), F.col("leaf").alias("at"), F.col("dist").alias("depth"), "branch_score")
-    for k, step in enumerate(steps[:-1]):
-        up = step.where("anc IS NOT NULL").select(F.col("node").alias("at"), "anc")
+    for k, step in enumerate(steps):
+        up = step.select(F.col("node").alias("at"), "anc")
         path = path.unionByName(path.join(up, "at").select("tree", "branch", F.col("anc").alias("at"), (F.col("depth") - 2**k).alias("depth"), "branch_score"))
         path = cut(path) if k % 2 else path
     return path.select("tree", "branch", F.col("at").alias("node"), "depth", "branch_score")
