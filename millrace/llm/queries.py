@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, chat, fingerprint, knn, line_dedup, mixing, ngram_join, token_counts, toxicity
+from millrace.llm import bpe, chat, fingerprint, knn, line_dedup, mixing, ngram_join, token_counts, toxicity, wrapper
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_html_extract": wrapper.op3_html_extract,
     "op4_bpe": bpe.op4_bpe,
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_knn": knn.op6_knn,
