@@ -43,7 +43,7 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
 
 def write_csv(df: DataFrame, path: str, order: list) -> None:
     """A CSV with header in a global order, as the part files' order; readers that need one file concatenate them."""
-    df.orderBy(*order).write.options(header=True, lineSep="\n").csv(path)
+    df.orderBy(*order).write.options(header=True, quote='"', escape='"', lineSep="\n").csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
