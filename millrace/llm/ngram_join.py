@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +40,8 @@ from millrace.llm.components import components
 
 _BITS = 52
 _TEXTS = 1 << (64 - _BITS)
-#: Parameters of work, not of the result: shingles in a bucket, texts in a group, rows on one leader's salt, rows broadcast.
-BUCKET_TOKENS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 4_000_000, 128, 2_000, 1_000_000
+#: Parameters of work, not of the result: shingles in a bucket, bytes and texts of a block, texts in a group, rows on one leader's salt, rows broadcast.
+BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 3_000_000, 6 << 20, 60_000, 128, 2_000, 300_000
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -108,7 +107,7 @@ def _wire(block: str, keys: list[str], sig: np.ndarray, size: np.ndarray, token:
         if lo == hi and slo == shi:
             continue
         idx, cnt = np.unique(w[lo:hi], return_counts=True)
-        for name, value in (("bucket", b), ("block", block), ("self", False), ("idx", idx.astype(np.uint32).tobytes()), ("sig", sig[idx].tobytes()), ("cnt", cnt.astype(np.uint32).tobytes()), ("tok", (t[lo:hi] & low).astype(np.uint32).tobytes()), ("seen", (seen[slo:shi] & low).astype(np.uint32).tobytes()), ("keys", None)):
+        for name, value in (("bucket", b), ("block", block), ("self", False), ("idx", idx.astype(np.uint16).tobytes()), ("sig", sig[idx].tobytes()), ("cnt", cnt.astype(np.uint32).tobytes()), ("tok", (t[lo:hi] & low).astype(np.uint32).tobytes()), ("seen", (seen[slo:shi] & low).astype(np.uint32).tobytes()), ("keys", None)):
             cols[name].append(value)
     own = int(mix64(np.uint64([abs(hash_text(block))]))[0] % np.uint64(buckets))
     for name, value in (("bucket", own), ("block", block), ("self", True), ("idx", None), ("sig", None), ("cnt", local.astype(np.uint32).tobytes()), ("tok", size.astype(np.uint32).tobytes()), ("seen", None), ("keys", keys)):
@@ -128,20 +127,21 @@ def _answer(group: pa.Table) -> pa.Table:
     """A bucket's answers: for each block and set, how many of the shingles it sent are in sets of other groups."""
     get = lambda name, dtype: [np.frombuffer(x or b"", dtype=dtype) for x in group.column(name).to_pylist()]
     selfs = group.column("self").to_pylist()
-    idx, sig, cnt, tok, seen = (get(n, d) for n, d in (("idx", np.uint32), ("sig", np.uint64), ("cnt", np.uint32), ("tok", np.uint32), ("seen", np.uint32)))
+    idx, sig, cnt, tok, seen = (get(n, d) for n, d in (("idx", np.uint16), ("sig", np.uint64), ("cnt", np.uint32), ("tok", np.uint32), ("seen", np.uint32)))
     rows = [i for i, s in enumerate(selfs) if not s]
     cols: dict[str, list] = {f.name: [] for f in _WIRE}
     table_ = group.select([f.name for f in _WIRE])
     if rows:
         t = np.concatenate([tok[i] for i in rows])
         per_idx = np.concatenate([cnt[i] for i in rows])
-        slot = np.repeat(np.arange(len(per_idx), dtype=np.int64), per_idx)
-        g = np.concatenate([sig[i] for i in rows])[slot]
+        slot = np.repeat(np.arange(len(per_idx), dtype=np.uint32), per_idx)
+        g = np.unique(np.concatenate([sig[i] for i in rows]), return_inverse=True)[1].astype(np.uint32)[slot]
         known = np.unique(np.concatenate([seen[i] for i in rows]))
         order = np.argsort(t, kind="stable")
         ts, gs = t[order], g[order]
-        shared = np.zeros(len(t), dtype=bool)
-        if len(t):
+        del t, g
+        shared = np.zeros(len(ts), dtype=bool)
+        if len(ts):
             start = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]])
             run = np.diff(np.r_[start, len(ts)])
             mixed = np.minimum.reduceat(gs, start) != np.maximum.reduceat(gs, start)
@@ -173,7 +173,7 @@ def _gather(group: pa.Table) -> pa.Table:
     shared = np.frombuffer(group.column("cnt")[own].as_py() or b"", dtype=np.uint32).astype(np.int64)
     for i, s in enumerate(selfs):
         if not s:
-            shared[np.frombuffer(group.column("idx")[i].as_py(), dtype=np.uint32)] += np.frombuffer(group.column("cnt")[i].as_py(), dtype=np.uint32)
+            shared[np.frombuffer(group.column("idx")[i].as_py(), dtype=np.uint16)] += np.frombuffer(group.column("cnt")[i].as_py(), dtype=np.uint32)
     return pa.table({"key": pa.array(keys, pa.string()), "n": pa.array(size.astype(np.int64)), "shared": pa.array(shared)})
 
 
@@ -200,13 +200,23 @@ def _set(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.int64)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df (a checkpoint of short rows), to be broadcast if it has at most SMALL_ROWS rows (some 40 MB); else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def _stars(sets: DataFrame, slot: int, percent: int) -> DataFrame:
-    """(a, b): texts of sets that link with the least key among those with the same slot-th least shingle."""
-    rows = sets.select("key", F.element_at("mins", slot + 1).alias("m"), "tokens")
-    groups = rows.groupBy("m").agg(F.min("key").alias("leader"), F.count("*").alias("c")).where("c > 1").select("m", "leader", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
-    members = rows.join(groups, "m").where("key <> leader").select("leader", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), "key", "tokens")
-    leaders = rows.drop("m").join(groups, F.col("key") == F.col("leader")).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), "key", "tokens")
-    met = members.unionByName(leaders).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "part")
+    """(a, b): texts of sets that link with the least key among those with the same slot-th least shingle.
+
+    The shingles are shuffled once: members and leaders go to their leader's place.
+    """
+    slim = sets.select("key", F.element_at("mins", slot + 1).alias("m"))
+    groups = slim.groupBy("m").agg(F.min("key").alias("leader"), F.count("*").alias("c")).where("c > 1").select("m", "leader", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
+    is_leader = F.col("key") == F.col("leader")
+    places = F.when(is_leader, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")))
+    placed = cut(slim.join(groups, "m").select("key", "leader", (~is_leader).cast("int").alias("part"), places.alias("places")))
+    met = sets.select("key", "tokens").join(_small(placed), "key").select("leader", F.explode("places").alias("salt"), "part", "key", "tokens")
+    met = met.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.zeros(0, np.int64)
@@ -266,11 +276,8 @@ def _meeting(pairs: DataFrame, condition) -> DataFrame:
 
 
 def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all links between texts of different components. sets: key, n, tokens, component."""
-    sizes = sets.groupBy("component").agg(F.count("*").alias("c"))
-    grouped = sets.join(sizes, "component").select("key", "n", "tokens", "component", F.concat_ws("/", "component", F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / GROUP_TEXTS)).cast("string")).alias("grp"))
-    grouped = cut(grouped)
-    unions = cut(_unions(grouped))
+    """(a, b): all links between texts of different components. sets: key, n, tokens, component, grp (a part of the component)."""
+    unions = cut(_unions(sets))
     total = unions.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0
     if not total:
         return sets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
@@ -291,7 +298,7 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
 
     met = _exchange(unions.select("grp", "component", "tokens").mapInArrow(send, _WIRE_DDL))
     open_ = met.join(unions.select(F.col("grp").alias("key"), "least"), "key").where(F.col("shared") * 100 >= F.col("least") * percent).select(F.col("key").alias("grp"))
-    inside = cut(grouped.join(open_, "grp", "left_semi"))
+    inside = cut(sets.join(_small(cut(open_)), "grp", "left_semi"))
     if inside.isEmpty():
         return sets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     # Of the open groups' texts, those with enough shingles that other components hold; prefixes are by rarity.
@@ -332,22 +339,24 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = [str(x) for x in batch.column(0).to_pylist()], [t.encode() for t in batch.column(1).to_pylist()]
+            sizes_ = np.diff(np.frombuffer(batch.column(1).buffers()[1], dtype=np.int32)[batch.column(1).offset :][: batch.num_rows + 1]) if pa.types.is_string(batch.column(1).type) else np.array([len(x) for x in batch.column(1).to_pylist()])
             lo = 0
-            while lo < len(texts):
+            while lo < batch.num_rows:
                 hi, size = lo, 0
-                while hi < len(texts) and (size < 1 << 24 or hi == lo):
-                    size += len(texts[hi])
+                while hi < batch.num_rows and hi - lo < BLOCK_TEXTS and (size < BLOCK_BYTES or hi == lo):
+                    size += int(sizes_[hi])
                     hi += 1
+                part = batch.slice(lo, hi - lo)
+                ids, texts = [str(x) for x in part.column(0).to_pylist()], [t.encode() for t in part.column(1).to_pylist()]
                 found: dict[tuple[int, int], int] = {}
                 tokens, where, sizes, sigs, keys = [], [], [], [], []
-                for a, b, token, at in shingle_sets(texts[lo:hi], width):
+                for a, b, token, at in shingle_sets(texts, width):
                     n, one, two = digests(token, at, b - a)
                     names = _key(one, two)
                     new = np.full(b - a, -1, dtype=np.int64)
                     for i in range(b - a):
                         spot = (int(one[i]), int(two[i]))
-                        keys.append((ids[lo + a + i], names[i] if n[i] else "", int(n[i])))
+                        keys.append((ids[a + i], names[i] if n[i] else "", int(n[i])))
                         if n[i] and spot not in found:
                             found[spot] = new[i] = len(found)
                             sizes.append(int(n[i]))
@@ -377,7 +386,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         shared = np.frombuffer(group.column("cnt")[own].as_py() or b"", dtype=np.uint32).astype(np.int64)
         for i, s in enumerate(selfs):
             if not s:
-                shared[np.frombuffer(group.column("idx")[i].as_py(), dtype=np.uint32)] += np.frombuffer(group.column("cnt")[i].as_py(), dtype=np.uint32)
+                shared[np.frombuffer(group.column("idx")[i].as_py(), dtype=np.uint16)] += np.frombuffer(group.column("cnt")[i].as_py(), dtype=np.uint32)
         of = {k: (int(n), int(c)) for k, n, c in zip(keys[:split], size, shared, strict=True)}
         parts = [x.split("\t", 1) for x in names]
         got = [of.get(k, (0, 0)) for k, _ in parts]
@@ -393,9 +402,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     # The sets of the texts that may link, from one text of each node.
     wanted = likely.select(F.col("least").alias("__wanted"))
-    if likely.count() <= SMALL_ROWS:  # 16 bytes a row: at most some 50 MB as a hash table; else both sides are shuffled
-        wanted = F.broadcast(wanted)
-    chosen = docs.join(wanted, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
+    chosen = docs.join(_small(wanted), F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix64(np.arange(1, 4, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -415,15 +422,18 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 })
 
     sets = chosen.mapInArrow(sets_of, "key string, n bigint, mins array<bigint>, tokens binary")
-    sets = cut(sets.join(likely.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    sets = cut(sets.join(_small(likely.select("key")), "key", "left_semi").dropDuplicates(["key"]))
     links = None
     rest = sets
     for slot in range(3):
         found = cut(_stars(rest, slot, percent))
         links = found if links is None else links.unionByName(found)
-        rest = rest.join(found.select(F.col("a").alias("key")), "key", "left_anti")
+        rest = rest.join(_small(found.select(F.col("a").alias("key"))), "key", "left_anti")
     stars = cut(components(links))
-    placed = sets.join(stars.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "tokens", F.coalesce("component", "key").alias("component"))
+    slim = sets.select("key").join(stars.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+    sizes = slim.groupBy("component").agg(F.ceil(F.count("*") / GROUP_TEXTS).alias("groups"))
+    slim = cut(slim.join(sizes, "component").select("key", "component", F.concat_ws("/", "component", F.pmod(F.xxhash64("key"), F.col("groups")).cast("string")).alias("grp")))
+    placed = sets.select("key", "n", "tokens").join(_small(slim), "key")
     more = cut(_across(placed, percent))
     if not more.isEmpty():
         stars = cut(components(links.unionByName(more)))
