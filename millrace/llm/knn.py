@@ -125,7 +125,7 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
                         at = axes(x, query, t)
                         which = pa.array(np.repeat(np.arange(len(x)), at.shape[1]))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(at.size, t, np.int32)), pa.array(at.ravel().astype(np.int32)), *(part.column(i).take(which) for i in (0, 1)), (part.column(3) if query else pa.array(np.zeros(len(x), np.int64))).take(which), pa.array(np.repeat(floor, at.shape[1])), packed.take(which)],
+                            [pa.array(np.full(at.size, t, np.int32)), pa.array(at.ravel().astype(np.int32)), *(part.column(i).take(which) for i in (0, 1)), part.column(3).take(which), pa.array(np.repeat(floor, at.shape[1])), packed.take(which)],
                             names=["t", "b", "h1", "h2", "qid", "floor", "v"],
                         )
 
@@ -137,7 +137,7 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], packed], names=["t", "b", "h1", "h2", "qid", "floor", "v"])
 
     kinds = "t int, b int, h1 bigint, h2 bigint, qid bigint, floor double, v binary"
-    held = vectors.select("h1", "h2", "v").mapInArrow(deal(False), kinds)
+    held = vectors.select("h1", "h2", "v", "least").mapInArrow(deal(False), kinds)
     probing = asked.select("h1", "h2", "v", "id").mapInArrow(deal(True), kinds)
     names = ["t", "b", "cv", "cq"]
     spread = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
@@ -160,27 +160,26 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
             a, b = np.concatenate(qi), np.concatenate(vi)
             # Summed in one order whatever the block, so equal vectors have equal scores.
             s = np.concatenate([(y[a[i : i + 8192]] * x[b[i : i + 8192]]).sum(axis=1) for i in range(0, len(a), 8192)] or [s])
-        return pa.table({"qid": qs.column("qid").take(pa.array(a)), "h1": vs.column("h1").take(pa.array(b)), "h2": vs.column("h2").take(pa.array(b)), "score": pa.array(s)})
+        return pa.table({"qid": qs.column("qid").take(pa.array(a)), "h1": vs.column("h1").take(pa.array(b)), "h2": vs.column("h2").take(pa.array(b)), "least": vs.column("qid").take(pa.array(b)), "score": pa.array(s)})
 
     def meet(held: DataFrame, probing: DataFrame) -> DataFrame:
         """Queries against the vectors of the buckets they probe."""
         counts = F.broadcast(cut(blocks(held, "nv").join(blocks(probing, "nq"), ["t", "b"])))  # one row a bucket: tables * 2 * width at most
         left = held.join(counts, ["t", "b"]).withColumn("cv", F.pmod(F.xxhash64("h1", "h2"), F.col("nv")).cast("int")).withColumn("cq", spread("nq"))
         right = probing.join(counts, ["t", "b"]).withColumn("cq", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).withColumn("cv", spread("nv"))
-        found = left.select(*names, "h1", "h2", "v").groupBy(*names).cogroup(right.select(*names, "qid", "floor", "v").groupBy(*names)).applyInArrow(rank, "qid bigint, h1 bigint, h2 bigint, score double")
-        return found.groupBy("qid", "h1", "h2").agg(F.max("score").alias("score"))
+        found = left.select(*names, "h1", "h2", "qid", "v").groupBy(*names).cogroup(right.select(*names, "qid", "floor", "v").groupBy(*names)).applyInArrow(rank, "qid bigint, h1 bigint, h2 bigint, least bigint, score double")
+        return found.groupBy("qid", "h1", "h2", "least").agg(F.max("score").alias("score"))
 
-    found = cut(meet(vectors.select("h1", "h2", "v").mapInArrow(deal(False), kinds), asked.select("h1", "h2", "v", "id").mapInArrow(deal(True), kinds)))
+    found = cut(meet(vectors.select("h1", "h2", "v", "least").mapInArrow(deal(False), kinds), asked.select("h1", "h2", "v", "id").mapInArrow(deal(True), kinds)))
     # Queries that met too few vectors above their bound are asked of all vectors, in blocks.
     met = found.groupBy("qid").agg(F.count("*").alias("c")).where(F.col("c") > k).select(F.col("qid").alias("id"))
     short = cut(asked.join(met, "id", "left_anti"))
     if not short.isEmpty():
         all_in_one = [F.lit(-1).alias("t"), F.lit(0).alias("b"), "h1", "h2"]
         pack = lambda rows_, qid: rows_.select(*all_in_one, qid.alias("qid"), F.lit(float("-inf")).alias("floor"), "v").mapInArrow(packed_rows, kinds)
-        found = found.join(short.select(F.col("id").alias("qid")), "qid", "left_anti").unionByName(meet(pack(vectors, F.lit(0).cast("long")), pack(short, F.col("id"))))
-    best = found.join(vectors.select("h1", "h2", "least"), ["h1", "h2"])
+        found = found.join(short.select(F.col("id").alias("qid")), "qid", "left_anti").unionByName(meet(pack(vectors, F.col("least")), pack(short, F.col("id"))))
     # k + 1 different vectors hold the k best rows: one may be the query's own.
-    best = best.withColumn("r", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, least)")).where(F.col("r") <= k + 1)
+    best = found.withColumn("r", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, least)")).where(F.col("r") <= k + 1)
     each = best.join(kept, ["h1", "h2"]).where("id <> qid")
     each = each.withColumn("rank", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)")).where(F.col("rank") <= k)
     return each.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
