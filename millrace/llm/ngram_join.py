@@ -9,13 +9,14 @@ more. No step emits the pairs of a group, and the result is exact:
    Shingles travel in packed blocks (4 bytes each), a block sends each shingle
    once, and the answers are counts; most texts end here.
 3. The others are grouped by their least shingle under a permutation, and each
-   is compared with its group's leader: stars that hold nearly all near copies.
+   is compared with its group's leaders: stars that hold nearly all near copies.
 4. The stars' components are cut into groups of similar texts; each group stores
    the union of its shingles. A group whose union shares too few shingles with
    other components to reach the bound of its smallest text stays closed.
-5. Texts of open groups query the other groups by a prefix of their rarest
-   shingles; a pair of query and group must reach the overlap bound on the
-   group's union before the query meets the group's texts.
+5. Texts of open groups are grouped anew; groups that share a shingle in their
+   texts' prefixes of rarest shingles are a candidate pair, and one whose unions
+   reach the overlap bound opens: a product of two 0-1 matrices, texts by
+   shingles, counts the common shingles of all its texts at once.
 6. All links found make the components.
 
 Defined cases: null or empty text and text without words have an empty set and
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,10 @@ from millrace.llm.components import components
 
 _BITS = 52
 _TEXTS = 1 << (64 - _BITS)
-#: Parameters of work, not of the result: shingles in a bucket, bytes and texts of a block, texts in a group, rows on one leader's salt, rows broadcast.
-BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 3_000_000, 6 << 20, 60_000, 128, 2_000, 300_000
+#: Parameters of work, not of the result: shingles in a bucket, bytes and texts of a block, texts in a group, texts that meet leaders
+#: in one place, rows broadcast; leaders of a group, links that a text keeps, shingles in a group.
+BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 3_000_000, 6 << 20, 60_000, 256, 256, 300_000
+LEADERS, LINKS, GROUP_TOKENS = 32, 4, 200_000
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -206,32 +210,44 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _stars(sets: DataFrame, slot: int, percent: int) -> DataFrame:
-    """(a, b): texts of sets that link with the least key among those with the same slot-th least shingle.
+    """(a, b): links between texts with the same slot-th least shingle and the LEADERS least keys among them.
 
-    The shingles are shuffled once: members and leaders go to their leader's place.
+    A text meets a bounded number of leaders and keeps at most LINKS links; links
+    that this leaves out are found by _across() unless a component has them
+    already. The shingles are shuffled once: texts go to their leaders' place.
     """
     slim = sets.select("key", F.element_at("mins", slot + 1).alias("m"))
-    groups = slim.groupBy("m").agg(F.min("key").alias("leader"), F.count("*").alias("c")).where("c > 1").select("m", "leader", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
-    is_leader = F.col("key") == F.col("leader")
-    places = F.when(is_leader, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")))
-    placed = cut(slim.join(groups, "m").select("key", "leader", (~is_leader).cast("int").alias("part"), places.alias("places")))
-    met = sets.select("key", "tokens").join(_small(placed), "key").select("leader", F.explode("places").alias("salt"), "part", "key", "tokens")
-    met = met.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "part")
+    counts = slim.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
+    chief = slim.withColumn("r", F.expr("row_number() OVER (PARTITION BY m ORDER BY key)")).where(F.col("r") <= LEADERS).select("key", "r")
+    grouped = slim.join(counts, "m").join(_small(cut(chief)), "key", "left")
+    # Leaders go to every salt of their group and are told apart from its members by their rank.
+    places = F.when(F.col("r").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")))
+    placed = cut(grouped.select("key", "m", F.coalesce("r", F.lit(LEADERS + 1)).alias("part"), places.alias("places")))
+    met = sets.select("key", "tokens").join(_small(placed), "key").select("m", F.explode("places").alias("salt"), "part", "key", "tokens")
+    met = met.repartition("m", "salt").sortWithinPartitions("m", "salt", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, np.zeros(0, np.int64)
+        at, leaders = None, []
         for batch in batches:
             a, b = [], []
-            for lead, part, key, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                mine = _set(tokens)
-                if part == 0:
-                    leader, own = lead, mine
-                    continue
-                assert leader == lead
-                both = _overlaps(own, mine)
-                if 100 * both >= percent * (len(own) + len(mine) - both):
-                    a.append(key)
-                    b.append(lead)
+            for m, salt, part, key, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if at != (m, salt):
+                    at, leaders = (m, salt), []
+                mine, found = _set(tokens), 0
+                if part > LEADERS or salt == 0:
+                    for other, theirs in leaders:
+                        small, large = sorted((len(mine), len(theirs)))
+                        if 100 * small < percent * large:
+                            continue
+                        both = _overlaps(theirs, mine)
+                        if 100 * both >= percent * (small + large - both):
+                            a.append(key)
+                            b.append(other)
+                            found += 1
+                            if found == LINKS:
+                                break
+                if part <= LEADERS:
+                    leaders.append((key, mine))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return met.mapInArrow(run, "a string, b string")
@@ -263,18 +279,6 @@ def _token_rows(sets: DataFrame, *keep: str) -> DataFrame:
     return sets.select(*keep, "tokens").mapInArrow(run, f"{kinds}, token bigint")
 
 
-def _meeting(pairs: DataFrame, condition) -> DataFrame:
-    """The pairs of (a, b, x, y, least) that condition(x, y, least) holds for; x and y are sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, least = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            ok = pa.array([condition(_set(p), _set(q), m) for p, q, m in zip(x, y, least, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(ok)
-
-    return pairs.select("a", "b", "x", "y", "least").mapInArrow(run, "a string, b string")
-
-
 def _across(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links between texts of different components. sets: key, n, tokens, component, grp (a part of the component)."""
     unions = cut(_unions(sets))
@@ -302,42 +306,107 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
     if inside.isEmpty():
         return sets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     # Of the open groups' texts, those with enough shingles that other components hold; prefixes are by rarity.
-    rows = _token_rows(inside, "key", "n", "component", "grp")
+    rows = _token_rows(inside, "key", "n", "component")
     known = rows.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rows = cut(rows.join(known, "token"))
     need = F.ceil(F.col("n") * percent / 100)
-    held = rows.groupBy("key", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= need).select("key", "shared")
+    held = rows.groupBy("key", "n", "component").agg(F.count("*").alias("shared"), F.min(F.xxhash64("token")).alias("m")).where(F.col("shared") >= need)
+    # Texts of a larger component are grouped together, others with the same least shared shingle; groups are cut to size.
+    held = cut(held.join(held.groupBy("component").agg(F.count("*").alias("c")), "component").withColumn("kind", F.when(F.col("c") >= 8, F.concat(F.lit("c"), "component")).otherwise(F.concat(F.lit("m"), F.col("m").cast("string")))))
+    parts = held.groupBy("kind").agg(F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    texts = cut(held.join(parts, "kind").select("key", "n", "component", "shared", F.concat_ws("/", "kind", F.pmod(F.xxhash64("key"), F.col("parts")).cast("string")).alias("g")))
+    packed = cut(_packed(inside.select("key", "tokens").join(_small(texts), "key").select("g", "key", "component", "tokens")))
     # All unshared shingles come first in a prefix of n - need + 1, so n - shared of it are used up.
-    ranked = rows.join(held, "key").withColumn("r", F.expr("row_number() OVER (PARTITION BY key ORDER BY df, token)"))
-    prefix = cut(ranked.where(F.col("r") <= F.col("shared") - need + 1).select("key", "n", "component", "grp", "token"))
-    spans = unions.select("grp", "least", "most")
-    of_groups = prefix.select("token", F.col("grp").alias("g"), F.col("component").alias("gc")).distinct().join(spans.withColumnRenamed("grp", "g"), "g")
-    possible = (F.col("component") != F.col("gc")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    queries = prefix.join(of_groups, "token").where(possible).select(F.col("key").alias("a"), F.col("g").alias("b"), "least").distinct()
-    texts = inside.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
-    queries = queries.join(texts, "a").join(unions.select(F.col("grp").alias("b"), F.col("tokens").alias("y")), "b")
-    opened = cut(_meeting(queries, lambda x, y, least: 100 * _overlaps(x, y) >= percent * max(len(x), least)))
-    members = prefix.select("key", "grp").distinct()
-    pairs = opened.join(members, opened["b"] == members["grp"]).select("a", F.col("key").alias("b")).distinct()
-    pairs = pairs.join(texts, "a").join(inside.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    pairs = pairs.where((F.octet_length("x") * 100 >= F.octet_length("y") * percent) & (F.octet_length("y") * 100 >= F.octet_length("x") * percent)).withColumn("least", F.lit(0))
-
-    def linked(x: np.ndarray, y: np.ndarray, _: int) -> bool:
-        both = _overlaps(x, y)
-        return 100 * both >= percent * (len(x) + len(y) - both)
-
-    return _meeting(pairs, linked)
+    ranked = rows.select("key", "token", "df").join(texts, "key").withColumn("r", F.expr("row_number() OVER (PARTITION BY key ORDER BY df, token)"))
+    prefix = cut(ranked.where(F.col("r") <= F.col("shared") - need + 1).select("g", "token").distinct())
+    queries = prefix.join(prefix.withColumnRenamed("g", "h"), "token").where("g <= h").select("g", "h").distinct()
+    sizes = packed.select("g", "least", "most", "only")
+    sizes2 = packed.select(F.col("g").alias("h"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("only").alias("only2"))
+    possible = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent) & ~F.coalesce(F.col("only") == F.col("only2"), F.lit(False))
+    queries = cut(queries.join(sizes, "g").join(sizes2, "h").where(possible).select("g", "h"))
+    both = queries.join(packed.select("g", "keys", "components", "sizes", "tokens"), "g")
+    both = both.join(packed.select(F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("components").alias("components2"), F.col("sizes").alias("sizes2"), F.col("tokens").alias("tokens2")), "h")
+    return _opened(both, percent).distinct()
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """A row for each group g: its texts' keys, components, sizes and shingles, least and largest size, and its component if it has one only."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        sets = [_set(x) for x in t.column("tokens").to_pylist()]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        components_ = t.column("component").to_pylist()
+        return pa.table({
+            "g": t.column("g")[:1], "keys": pa.array([t.column("key").to_pylist()], pa.list_(pa.string())), "components": pa.array([components_], pa.list_(pa.string())),
+            "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())), "tokens": pa.array([np.concatenate(sets).tobytes()], pa.binary()),
+            "least": pa.array([int(sizes.min())], pa.int64()), "most": pa.array([int(sizes.max())], pa.int64()), "only": pa.array([components_[0] if len(set(components_)) == 1 else None], pa.string()),
+        })
+
+    return texts.groupBy("g").applyInArrow(pack, "g string, keys array<string>, components array<string>, sizes array<bigint>, tokens binary, least bigint, most bigint, only string")
+
+
+def _opened(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of two groups. A pair of groups opens if their unions share enough for their smallest texts.
+
+    The texts' common shingles are one product of two 0-1 matrices over the
+    shingles that the unions share; of the links, a spanning forest of the components goes out.
+    """
+
+    def incidence(tokens: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        hit = common[at] == tokens
+        return owner[hit], at[hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                one, two = ({n: batch.column(f"{n}{end}")[k].as_py() for n in ("keys", "components", "sizes", "tokens")} for end in ("", "2"))
+                x, y = _set(one["tokens"]), _set(two["tokens"])
+                nx, ny = np.array(one["sizes"]), np.array(two["sizes"])
+                common = np.intersect1d(x, y)
+                if 100 * len(common) < percent * max(nx.min(), ny.min()):
+                    continue
+                ox, tx = incidence(x, nx, common)
+                oy, ty = incidence(y, ny, common)
+                overlap = np.zeros((len(nx), len(ny)), dtype=np.float32)
+                for lo in range(0, len(common), 8192):
+                    width = min(8192, len(common) - lo)
+                    m, n = np.zeros((len(nx), width), np.float32), np.zeros((len(ny), width), np.float32)
+                    p, q = (tx >= lo) & (tx < lo + width), (ty >= lo) & (ty < lo + width)
+                    m[ox[p], tx[p] - lo] = 1
+                    n[oy[q], ty[q] - lo] = 1
+                    overlap += m @ n.T
+                whole = overlap.astype(np.int64)
+                i, j = np.nonzero(100 * whole >= percent * (nx[:, None] + ny[None, :] - whole))
+                root: dict[str, str] = {}
+
+                def find(c: str, root: dict[str, str] = root) -> str:
+                    while c in root:
+                        c = root[c]
+                    return c
+
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    c, d = find(one["components"][p]), find(two["components"][q])
+                    if c != d:
+                        root[max(c, d)] = min(c, d)
+                        a.append(one["keys"][p])
+                        b.append(two["keys"][q])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    return pairs.mapInArrow(run, "a string, b string")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of df: id, key (its set; null if empty), n_shingles, component (of keys), component_id."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     volume = docs.agg(F.sum(F.octet_length("__text"))).head()[0] or 0
     buckets = _buckets(volume // 6)
     kind = df.schema[id_col].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = 0
         for batch in batches:
             sizes_ = np.diff(np.frombuffer(batch.column(1).buffers()[1], dtype=np.int32)[batch.column(1).offset :][: batch.num_rows + 1]) if pa.types.is_string(batch.column(1).type) else np.array([len(x) for x in batch.column(1).to_pylist()])
             lo = 0
@@ -366,10 +435,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     where.append(new[at[kept]])
                 # Every row is named in the block's own part; equal sets answer together.
                 names = [f"{k}\t{i}" for i, k, _ in keys]
-                name = f"{len(keys)}|{keys[0][0]}|{keys[0][1]}|{keys[-1][0]}|{keys[-1][1]}|{hash_text(''.join(names)):x}"
+                name = f"{TaskContext.get().partitionId()}|{serial}|{len(keys)}|{keys[0][0]}|{keys[0][1]}|{keys[-1][0]}|{keys[-1][1]}|{hash_text(''.join(names)):x}"
                 wire = _wire(name, [f"{a:016x}{b:016x}" for a, b in found], np.array(sigs, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.concatenate(tokens), np.concatenate(where), buckets)
                 yield from _with_rows(wire, names)
-                lo = hi
+                lo, serial = hi, serial + 1
 
     def _with_rows(wire: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
         own = wire.column("keys").to_pylist()
@@ -428,7 +497,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     for slot in range(3):
         found = cut(_stars(rest, slot, percent))
         links = found if links is None else links.unionByName(found)
-        rest = rest.join(_small(found.select(F.col("a").alias("key"))), "key", "left_anti")
+        # Leaders stand for their group in the next slots, texts linked to one are done.
+        linked = cut(found.select(F.col("a").alias("key")).distinct().join(found.select(F.col("b").alias("key")), "key", "left_anti"))
+        rest = rest.join(_small(linked), "key", "left_anti")
     stars = cut(components(links))
     slim = sets.select("key").join(stars.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
     sizes = slim.groupBy("component").agg(F.ceil(F.count("*") / GROUP_TEXTS).alias("groups"))
@@ -441,7 +512,6 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = of.select("key", "component").join(least, "component")
     out = rows.join(of, "key", "left").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "component", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    assert spark is not None
     return out
 
 
