@@ -63,8 +63,10 @@ def best_paths(nodes: DataFrame, all_branches: bool = False) -> DataFrame:
     # Rounds: anc is the 2^k-th ancestor; dist and sum count the nodes and scores from node up to, without, anc.
     # Nodes that have reached their root leave the rounds.
     state = links.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("dist"), F.col("score").alias("sum"))
-    steps = []
-    while len(steps) < 40 and not (going := state.where("anc IS NOT NULL")).isEmpty():
+    # As long as there is a node to come, one of those at depth 2^k to 2^(k+1) leaves; if none does, only cycles are left.
+    steps, before = [], -1
+    while (n := (going := state.where("anc IS NOT NULL")).count()) and n != before:
+        before = n
         steps.append(going.select("node", "anc"))
         up = state.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("dist").alias("d2"), F.col("sum").alias("s2"))
         moved = going.join(up, going["anc"] == up["n2"]).select("node", F.col("a2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("sum") + F.col("s2")).alias("sum"))
