@@ -9,10 +9,11 @@ candidates found there by their inner products on the original vectors.
 
 Equal vectors are one candidate: only the k + 1 smallest ids among them can be
 in a result, and those are kept exactly. A bucket is dealt in blocks of
-BLOCK vectors and BLOCK queries, without a cap. A sample of SAMPLE vectors
-gives every query a lower bound of its k-th best product; products below it
-are not passed on, which changes no result. A query left with k products or
-fewer is asked of all vectors, block by block.
+BLOCK vectors and BLOCK queries, without a cap. The nearest FIRST axes of every
+table are probed first; the best products found there bound what the other
+probes pass on, which changes no result and keeps their rows in proportion to
+the queries. A query left with k products or fewer is asked of all vectors,
+block by block.
 
 Defined cases: vectors that are null, zero, of another than the commonest
 length, or hold null or non-finite components take no part; a null id is no
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, hash128, table
 
-BLOCK, SAMPLE = 4_096, 2_000
+BLOCK, FIRST = 4_096, 2
 
 
 def rotations(dim: int, tables: int, seed: int) -> np.ndarray:
@@ -94,35 +95,21 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
     signs = rotations(width, tables, seed)
     asked = cut(rows.where("q").select("id", "h1", "h2").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2").join(vectors.select("h1", "h2", "v"), ["h1", "h2"]))
 
-    sample = vectors.select("h1", "h2", "v").orderBy("h1", "h2").limit(SAMPLE).toPandas()  # a bounded sample
-    sample_v = np.array(sample["v"].tolist(), dtype=np.float64)
-    sample_h = set(zip(sample["h1"].tolist(), sample["h2"].tolist(), strict=True))
-
-    def bounds(x: np.ndarray, keys: list[tuple[int, int]]) -> np.ndarray:
-        """Of each query, a number its k-th best product is not below."""
-        if len(sample_v) <= k + 1:
-            return np.full(len(x), -np.inf)
-        top = -np.partition(-(x @ sample_v.T), k, axis=1)[:, : k + 1]
-        top.sort(axis=1)
-        # top holds the k + 1 best, ascending; the query's own vector may be one of them.
-        floor = np.where([key in sample_h for key in keys], top[:, 0], top[:, 1])
-        return floor - 1e-9 * np.maximum(1.0, np.abs(floor))
-
-    def axes(x: np.ndarray, query: bool, t: int) -> np.ndarray:
+    def axes(x: np.ndarray, query: bool, t: int, lo: int = 0, hi: int = 1) -> np.ndarray:
         turned = rotate(_placed(x, width, norm, query), signs[t])
         both = np.concatenate([turned, -turned], axis=1)
-        return np.argsort(-both, axis=1, kind="stable")[:, :probes] if query else np.argmax(both, axis=1)[:, None]
+        return np.argsort(-both, axis=1, kind="stable")[:, lo:hi] if query else np.argmax(both, axis=1)[:, None]
 
-    def deal(query: bool):
+    def deal(query: bool, first: int = 0, last: int = 1):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2_048):
                     part = batch.slice(lo, 2_048)
                     x = _matrix(part.column(2))
-                    floor = bounds(x, list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))) if query else np.zeros(len(x))
+                    floor = part.column(4).to_numpy(zero_copy_only=False) if query else np.zeros(len(x))
                     packed = pa.array([r.tobytes() for r in x], pa.binary())
                     for t in range(tables):
-                        at = axes(x, query, t)
+                        at = axes(x, query, t, first, last)
                         which = pa.array(np.repeat(np.arange(len(x)), at.shape[1]))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(at.size, t, np.int32)), pa.array(at.ravel().astype(np.int32)), *(part.column(i).take(which) for i in (0, 1)), part.column(3).take(which), pa.array(np.repeat(floor, at.shape[1])), packed.take(which)],
@@ -170,7 +157,16 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
         found = left.select(*names, "h1", "h2", "qid", "v").groupBy(*names).cogroup(right.select(*names, "qid", "floor", "v").groupBy(*names)).applyInArrow(rank, "qid bigint, h1 bigint, h2 bigint, least bigint, score double")
         return found.groupBy("qid", "h1", "h2", "least").agg(F.max("score").alias("score"))
 
-    found = cut(meet(vectors.select("h1", "h2", "v", "least").mapInArrow(deal(False), kinds), asked.select("h1", "h2", "v", "id").mapInArrow(deal(True), kinds)))
+    held = cut(vectors.select("h1", "h2", "v", "least").mapInArrow(deal(False), kinds))
+    near = min(FIRST, probes)
+    ask = lambda rows_, floor, lo, hi: rows_.select("h1", "h2", "v", "id", floor.alias("floor")).mapInArrow(deal(True, lo, hi), kinds)
+    found = cut(meet(held, ask(asked, F.lit(float("-inf")), 0, near)))
+    if probes > near:
+        # k + 1 other vectors at least as good as this bound are known already.
+        best = found.withColumn("r", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC)")).where(F.col("r") <= k + 1)
+        floors = best.groupBy(F.col("qid").alias("id")).agg(F.when(F.count("*") > k, F.min("score") - 1e-9).otherwise(F.lit(float("-inf"))).alias("floor"))
+        bounded = cut(asked.join(floors, "id", "left"))
+        found = cut(found.unionByName(meet(held, ask(bounded, F.coalesce("floor", F.lit(float("-inf"))), near, probes))).groupBy("qid", "h1", "h2", "least").agg(F.max("score").alias("score")))
     # Queries that met too few vectors above their bound are asked of all vectors, in blocks.
     met = found.groupBy("qid").agg(F.count("*").alias("c")).where(F.col("c") > k).select(F.col("qid").alias("id"))
     short = cut(asked.join(met, "id", "left_anti"))
