@@ -343,6 +343,8 @@ def test_html_extract(spark):
     rows += [(50, None, None), (51, "http://b.example", ""), (52, "http://b.example", "just text"), (53, "::", "<p>unclosed <b>bold<p>next<!-- open"), (54, "http://b.example", "<article class='post'><header><h1>T</h1></header><p>x</article><article class='comment'><p>bad</article>")]
     got = {r["page_id"]: r for r in wrapper.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert len(got) == len(rows)
+    site = "<div class='site-header'>Logo</div><main><div class='entry-header'><h1>T</h1></div><div class='cookie-notice'>c</div><p>x<form><p>f</form><p>y</main>"
+    assert wrapper.extract(site) == "T\nx\ny"
     for i in range(12):
         n = f"n{i} " + " ".join(random.Random(i).choices(WORDS, k=8))
         assert got[i]["text"] == f"Title {n} & more\nFirst {n} paragraph\nSecond <{n}> line\none {n}\ntwo"
