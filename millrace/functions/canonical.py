@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 import pandas as pd
@@ -34,3 +35,28 @@ def answer(c: Column) -> Column:
         return s.map(canonical_answer)
 
     return run(c)
+
+
+#: LaTeX commands and their plain forms.
+_LATEX = ((r"\\(?:left|right|,|;|!|quad|displaystyle)", ""), (r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", r"\1/\2"), (r"\\sqrt\{([^{}]*)\}", r"sqrt(\1)"), (r"\\(?:cdot|times)", "*"), (r"\\binom\{([^{}]*)\}\{([^{}]*)\}", r"C(\1,\2)"), (r"\^\{([^{}]*)\}", r"^\1"), (r"[\s$]", ""))
+
+
+def latex_plain(text: str | None) -> str | None:
+    """Fractions, roots, products, binomials and powers in plain signs; inner ones first, eight rounds at most."""
+    if text is None:
+        return None
+    for _ in range(8):
+        before = text
+        for pattern, by in _LATEX:
+            text = re.sub(pattern, by, text)
+        if text == before:
+            break
+    return text
+
+
+def latex(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(latex_plain)
+
+    return run(c)

@@ -55,13 +55,15 @@ def fit_number(xs: list[str], ys: list[str]) -> Rule | None:
 
         return rule
 
-    rules: list[Rule] = [made(lambda d: d + (b[0] - a[0]))]
+    forms: list[Callable[[Decimal], Decimal]] = [lambda d: d + (b[0] - a[0])]
     if a[0]:
-        rules += [made(lambda d: d * (b[0] / a[0])), made(lambda d: d * d * (b[0] / (a[0] * a[0])))]
+        forms += [lambda d: d * (b[0] / a[0]), lambda d: d * d * (b[0] / (a[0] * a[0]))]
     if len(a) > 1 and a[0] != a[1]:
         m = (b[1] - b[0]) / (a[1] - a[0])
-        rules.append(made(lambda d: m * d + (b[0] - m * a[0])))
-    return next((r for r in rules if _checked(r, xs, ys)), None)
+        forms.append(lambda d: m * d + (b[0] - m * a[0]))
+    # A form that gives the outputs exactly goes before one that needs rounding.
+    exact = [f for f in forms if all(abs(f(x) - y) < Decimal("1e-12") for x, y in zip(a, b, strict=True))]
+    return next((r for f in (*exact, *forms) if _checked(r := made(f), xs, ys)), None)
 
 
 def fit_shift(xs: list[str], ys: list[str]) -> Rule | None:
