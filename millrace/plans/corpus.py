@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numbers as num
 from millrace.functions import text as tx
 from millrace.operators import measures, rows, sets
+from millrace.operators.grouping import grouping_sets
 from millrace.operators.ordering import positions
 from millrace.plans.registry import Tables, query
 
@@ -407,8 +408,8 @@ def _(t):
 
 @query("agg08_coverage", "SELECT lang, source, split, count(*) AS n, grouping_id(lang, source, split)::BIGINT AS level FROM (SELECT *, " + SPLIT + " AS split FROM documents) GROUP BY GROUPING SETS ((lang), (source), (split), (lang, split), ())")
 def _(t):
-    t.documents.select("lang", "source", split_of(F.col("doc_id")).alias("split")).createOrReplaceTempView("__coverage")
-    return t.spark.sql("SELECT lang, source, split, count(*) AS n, grouping_id(lang, source, split) AS level FROM __coverage GROUP BY GROUPING SETS ((lang), (source), (split), (lang, split), ())")
+    d = t.documents.select("lang", "source", split_of(F.col("doc_id")).alias("split"))
+    return grouping_sets(d, [["lang"], ["source"], ["split"], ["lang", "split"], []], n=F.count("*"), level=F.grouping_id())
 
 
 @query("agg10_learnability", f"""

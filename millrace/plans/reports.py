@@ -78,7 +78,7 @@ def _(t):
 
 @query("nbk12_axis_rollups", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber))")
 def _(t):
-    return grouping_sets(t.lineitem, [["l_returnflag"], ["l_linestatus"], ["l_linenumber"]], F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("discount"))
+    return grouping_sets(t.lineitem, [["l_returnflag"], ["l_linestatus"], ["l_linenumber"]], n=F.count("*"), discount=F.round(F.avg("l_discount"), 6))
 
 
 @query("nbk13_folds", "WITH f AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1) % 5 AS fold FROM customer) SELECT fold, count(*) AS n FROM f GROUP BY fold")
