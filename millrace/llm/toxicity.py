@@ -12,8 +12,8 @@ two suspect words is a power of one 2 x 2 matrix; powers settle to a limit, and
 the marginals are exact at the cost of the suspect words alone.
 
 The model is fitted on the driver on at most TOXIC_ROWS and CLEAN_ROWS labelled
-documents (those with the least hash of their id); class sizes are counted over
-all labelled rows. Every whole text is scored.
+documents (those with the least hash of their id, and of these the ones of at
+most TRAIN_CHARS code points); class sizes are counted over all labelled rows. Every whole text is scored.
 
 Defined cases: null text is empty; a text without words is scored as one without
 suspect words; without labelled documents of both classes every score is 0;
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 
-#: Bounds of the training sample, and of a training sequence's words.
-TOXIC_ROWS, CLEAN_ROWS, SEQUENCE = 1_500, 3_000, 48
+#: Bounds of the training sample, of its documents' code points, and of a training sequence's words.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS, SEQUENCE = 1_500, 3_000, 50_000, 48
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7, 8)
 _SETTLED = 256
@@ -154,7 +154,7 @@ class Crf:
 
     def suspects(self, words: list[str]) -> list[int]:
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > 200_000:
             memo.clear()
         for w in set(words).difference(memo):
             memo[w] = self.suspect(w)
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     pick = lambda y, n: known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
     chosen = F.broadcast(pick(1, TOXIC_ROWS).unionByName(pick(0, CLEAN_ROWS)))  # at most TOXIC_ROWS + CLEAN_ROWS ids
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(chosen, "__id").select("__id", "__y", "__t").dropDuplicates(["__id"]).collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(chosen, "__id").where(F.char_length(F.coalesce("__t", F.lit(""))) <= TRAIN_CHARS).select("__id", "__y", "__t").dropDuplicates(["__id"]).collect()
     rows = sorted(rows, key=lambda r: (r["__y"], str(r["__id"])))
     toxic, clean = ([r["__t"] or "" for r in rows if r["__y"] == y] for y in (1, 0))
     if not toxic or not clean:
