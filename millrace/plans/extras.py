@@ -159,7 +159,7 @@ def _(t):
     return solvers.solve(p, "p_partkey", ["sequence"]).select("p_partkey", "answer")
 
 
-@query("udf23_generator", "SELECT n_nationkey AS seed, i AS k, (n_nationkey * 31 + i * 17) % 97 AS value FROM nation, range(5) r(i)")
+@query("udf23_generator", "SELECT n_nationkey::BIGINT AS seed, i AS k, (n_nationkey * 31 + i * 17) % 97 AS value FROM nation, range(5) r(i)")
 def _(t):
     r = t.nation.select(F.col("n_nationkey").cast("long").alias("seed"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("k"))
     return r.select("seed", "k", ((F.col("seed") * 31 + F.col("k") * 17) % 97).alias("value"))

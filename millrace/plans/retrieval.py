@@ -38,7 +38,7 @@ def _(t):
 @query("evl07_knn_vote", f"""
 WITH s AS ({_TOP}), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5),
 v AS (SELECT query_id, query_label, label, count(*) AS n FROM r GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS k FROM v)
-SELECT query_id, label AS vote, n::DOUBLE / 5 AS agreement, label = query_label AS correct FROM w WHERE k = 1""")
+SELECT query_id, label::BIGINT AS vote, n::DOUBLE / 5 AS agreement, label = query_label AS correct FROM w WHERE k = 1""")
 def _(t):
     n = _neighbours(t).groupBy("query_id", "query_label", "label").agg(F.count("*").alias("n"))
     best = n.groupBy("query_id", "query_label").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"))
@@ -61,7 +61,7 @@ def _(t):
     return _neighbours(t).groupBy("query_id").agg(F.round(F.avg("score"), 5).alias("mean"), F.max("score").alias("top"), F.count_distinct("label").alias("diversity"))
 
 
-@query("ret08_support_sum", f"WITH s AS ({_TOP}), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5), g AS (SELECT query_id, label, sum(score) AS w FROM r GROUP BY ALL) SELECT query_id, label, round(w / sum(w) OVER (PARTITION BY query_id), 5) AS support FROM g")
+@query("ret08_support_sum", f"WITH s AS ({_TOP}), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5), g AS (SELECT query_id, label, sum(score) AS w FROM r GROUP BY ALL) SELECT query_id, label::BIGINT AS label, round(w / sum(w) OVER (PARTITION BY query_id), 5) AS support FROM g")
 def _(t):
     g = _neighbours(t).groupBy("query_id", "label").agg(F.sum("score").alias("w"))
     return g.select("query_id", "label", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("query_id")), 5).alias("support"))
