@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary and its merges as arrays."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -200,16 +201,14 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def _chunks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes of text, one row at least, so that what is made of them stays small."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", what: str = "ids") -> DataFrame:
@@ -227,18 +226,23 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", what: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            n_tokens, ids, decoded = [], [], []
-            for part in _chunks(batch.column(len(carried)).to_pylist()):
-                for i, t, n in bpe.encode(part):
+            for lo, hi in slices(batch.column(len(carried))):
+                part = batch.slice(lo, hi - lo)
+                n_tokens, ids, decoded = [], [], []
+                for i, t, n in bpe.encode(part.column(len(carried)).to_pylist()):
                     n_tokens.append(n)
                     if what == "ids":
-                        ids.append([int(x) for p in i for x in p.split(" ")])
+                        ids.append(np.array(" ".join(i).split(), dtype=np.int32))
                         decoded.append(" ".join(t))
                     else:
                         ids.append(hashlib.sha256(" ".join(i).encode()).hexdigest())
                         decoded.append(hashlib.sha256(" ".join(t).encode()).hexdigest())
-            out = [pa.array(n_tokens, pa.int64()), pa.array(ids, pa.list_(pa.int32()) if what == "ids" else pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *out], names=[*carried, "__n", "__ids", "__dec"])
+                if what == "ids":
+                    ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                else:
+                    column = pa.array(ids, pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], pa.array(n_tokens, pa.int64()), column, pa.array(decoded, pa.string())], names=[*carried, "__n", "__ids", "__dec"])
 
     done = rows.mapInArrow(run, ", ".join(x for x in (kinds, "__n bigint", second) if x))
     return done.toDF(*[c for _, c in keep], *mine)

@@ -42,7 +42,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 class Counter:
     """Counts the tokens of texts for one vocabulary file."""
 
-    def __init__(self, path: str, chunk_chars: int, overlap_chars: int, memo: int = 400_000):
+    def __init__(self, path: str, chunk_chars: int, overlap_chars: int, memo: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.chunk, self.overlap, self.most = chunk_chars, overlap_chars, memo
         self.memo: dict[str, int] = {}
