@@ -43,9 +43,9 @@ from millrace.llm.components import components
 _BITS = 52
 _TEXTS = 1 << (64 - _BITS)
 #: Parameters of work, not of the result: shingles in a bucket, bytes and texts of a block, texts in a group, texts that meet leaders
-#: in one place, rows broadcast; leaders of a group, links that a text keeps, shingles in a group.
-BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 3_000_000, 6 << 20, 60_000, 256, 256, 300_000
-LEADERS, LINKS, GROUP_TOKENS = 32, 4, 200_000
+#: in one place, rows broadcast; leaders of a group, links that a text keeps, shingles in a group, pairs of groups in a task, bytes of groups broadcast.
+BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 2_000_000, 4 << 20, 60_000, 256, 256, 300_000
+LEADERS, LINKS, GROUP_TOKENS, PAIRS, SMALL_BYTES = 32, 4, 100_000, 8, 48_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -230,7 +230,8 @@ def _stars(sets: DataFrame, slot: int, percent: int) -> DataFrame:
         at, leaders = None, []
         for batch in batches:
             a, b = [], []
-            for m, salt, part, key, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            rows = (row for lo in range(0, batch.num_rows, 256) for row in zip(*(batch.column(i).slice(lo, 256).to_pylist() for i in range(5)), strict=True))
+            for m, salt, part, key, tokens in rows:
                 if at != (m, salt):
                     at, leaders = (m, salt), []
                 mine, found = _set(tokens), 0
@@ -324,9 +325,13 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
     sizes2 = packed.select(F.col("g").alias("h"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("only").alias("only2"))
     possible = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent) & ~F.coalesce(F.col("only") == F.col("only2"), F.lit(False))
     queries = cut(queries.join(sizes, "g").join(sizes2, "h").where(possible).select("g", "h"))
-    both = queries.join(packed.select("g", "keys", "components", "sizes", "tokens"), "g")
-    both = both.join(packed.select(F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("components").alias("components2"), F.col("sizes").alias("sizes2"), F.col("tokens").alias("tokens2")), "h")
-    return _opened(both, percent).distinct()
+    # A pair is a large row and a batch holds a task's rows, so a task gets PAIRS of them.
+    spread = max(1, math.ceil(queries.count() / PAIRS))
+    volume = packed.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0
+    lookup = F.broadcast if volume <= SMALL_BYTES else (lambda df: df)  # groups are as large as their shingles; else they are shuffled
+    both = queries.repartition(spread, "g", "h").join(lookup(packed.select("g", "keys", "components", "sizes", "tokens")), "g")
+    both = both.join(lookup(packed.select(F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("components").alias("components2"), F.col("sizes").alias("sizes2"), F.col("tokens").alias("tokens2"))), "h")
+    return _opened(both if volume <= SMALL_BYTES else both.repartition(spread, "g", "h"), percent).distinct()
 
 
 def _packed(texts: DataFrame) -> DataFrame:
