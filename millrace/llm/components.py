@@ -1,12 +1,49 @@
-"""Connected components of a table of links, without ever holding them in one place."""
+"""Connected components of a table of links: in one task if they are few, else by distributed rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
 
+#: Links that one task joins (some 100 MB there); beyond it the rounds are distributed.
+ONE_TASK = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """components() of at most ONE_TASK distinct links u, v, by union-find on an executor."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+        schema = None
+
+        def find(x):
+            top = x
+            while root[top] != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            schema = batch.schema
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root.setdefault(u, u)
+                root.setdefault(v, v)
+                a, b = find(u), find(v)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        if schema is not None:
+            nodes = list(root)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, schema.field(0).type), pa.array([find(x) for x in nodes], schema.field(0).type)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): the least node reachable by links, itself included, for each node of a, b (of one type).
@@ -17,6 +54,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     neighbours meet its least one by a join, which splits, not in a list.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= ONE_TASK:
+        return _in_one_task(edges)
     state = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

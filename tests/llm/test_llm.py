@@ -18,6 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from millrace.llm import bpe, chat, fingerprint, knn, line_dedup, mixing, ngram_join, token_counts, toxicity, wrapper  # noqa: E402
+from millrace.llm import components as components_module  # noqa: E402
 from millrace.llm.components import components  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -238,7 +239,9 @@ def test_ngram_join_cases(spark, empty):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == [("5", 2, "5"), ("5", 2, "5"), ("6", 0, "6"), ("7", 0, "7"), ("None", 2, "5")]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     r = random.Random(9)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(80)]
     parent = {x: x for p in links for x in p}
