@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numbers as num
 from millrace.operators import measures, rows, skyline
 from millrace.operators.grouping import grouping_sets
-from millrace.operators.ordering import positions
+from millrace.operators.ordering import numeric_first, positions, positions_by
 from millrace.operators.thresholds import best_threshold
 from millrace.plans.registry import query
 
@@ -304,6 +304,12 @@ def _(t):
     return i.orderBy(n.isNull(), n, "id").limit(50)
 
 
+@query("top01_numeric_positions", "WITH i AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS id FROM orders) SELECT id, row_number() OVER (ORDER BY try_cast(id AS BIGINT) IS NULL, try_cast(id AS BIGINT), id) - 1 AS position FROM i")
+def _(t):
+    i = t.orders.select(F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string")).alias("id"))
+    return positions_by(i, numeric_first(F.col("id")))
+
+
 @query("top07_beam", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice, l_orderkey, l_partkey) AS r FROM lineitem) WHERE r <= 8")
 def _(t):
     return rows.top_per_group(t.lineitem, ["l_linenumber"], ["l_extendedprice", "l_orderkey", "l_partkey"], 8).select("l_orderkey", "l_linenumber")
