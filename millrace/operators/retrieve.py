@@ -155,23 +155,34 @@ def diversified(df: DataFrame, query: str, key: str, score: str, vec: str, k: in
     return df.select(query, key, score, vec).groupBy(query).applyInPandas(choose, f"{query} bigint, {key} bigint, place bigint")
 
 
-def ridge_head(df: DataFrame, vec: str, target: Column, dims: int, ridge: float) -> DataFrame:
-    """(term, weight): least squares on the first dims components with an unpenalised bias.
+def ridge_head(df: DataFrame, vec: str, target: Column, ridge: float, epsilon: float = 1e-4) -> DataFrame:
+    """(term, weight): least squares of the target's logit on all components, with an unpenalised bias.
 
-    Sums of products are aggregated by blocks of rows; only the (dims + 2)^2 matrix reaches the driver.
+    Targets are in 0..1, clipped by epsilon; rows without one are left out, and
+    missing components are 0. Sums of products are aggregated by blocks of rows;
+    only the (components + 2)^2 matrix reaches the driver.
     """
+    p = F.least(F.greatest(target, F.lit(epsilon)), F.lit(1 - epsilon))
+    known = df.where(target.isNotNull()).select(F.coalesce(F.col(vec).cast("array<double>"), F.array().cast("array<double>")).alias("x"), F.log(p / (1 - p)).alias("z"))
+    dims = known.agg(F.max(F.size("x"))).head()[0]
+    if dims is None:
+        return df.sparkSession.createDataFrame([], "term string, weight double")
     size = dims + 2
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            if len(x):
-                row = np.column_stack([np.ones(len(x)), x[:, :dims], b.column(1).to_numpy()])
-                total += row.T @ row
+            row = np.zeros((b.num_rows, size))
+            row[:, 0] = 1.0
+            row[:, -1] = b.column(1).to_numpy()
+            lists = b.column(0)
+            n = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().fill_null(0.0).to_numpy()
+            row[np.repeat(np.arange(len(n)), n), 1 + np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+            total += row.T @ row
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(size * size), pa.int64()), "s": pa.array(total.ravel())})
 
-    sums = df.select(F.col(vec).cast("array<double>"), target).mapInArrow(gram, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    sums = known.mapInArrow(gram, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s"))
     m = np.zeros(size * size)
     for r in sums.collect():
         m[r["i"]] = r["s"]

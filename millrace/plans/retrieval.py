@@ -161,4 +161,4 @@ def _(t):
 
 @query("evl10_ridge_head")
 def _(t):
-    return retrieve.ridge_head(t.embeddings, "embedding", F.col("label").cast("double"), 8, 0.1)
+    return retrieve.ridge_head(t.embeddings, "embedding", F.col("label") / 9, 0.1)
