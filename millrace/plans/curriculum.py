@@ -134,6 +134,12 @@ def _(t):
     return curriculum.quality_verdicts(a, "doc_id", "h", "source", 20)
 
 
+@query("flt09_greedy_quality")
+def _(t):
+    a = t.documents.select("doc_id", "source", tx.text_hash(F.col("text")).alias("h"), F.when(F.col("n_chars") < 200, "short").alias("reason"))
+    return curriculum.greedy_verdicts(a, "doc_id", "h", "source", 20)
+
+
 @query("flt17_curriculum", f"SELECT doc_id, place FROM (SELECT doc_id, row_number() OVER (ORDER BY r, source NULLS LAST) AS place FROM (SELECT d.doc_id, source, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS r FROM {_D} WHERE quality = 1 AND lang IN ('en', 'de'))) WHERE place <= 200")
 def _(t):
     ok = labelled(t).where("quality = 1 AND lang IN ('en', 'de')")
@@ -310,7 +316,13 @@ def _(t):
 
 @query("smp10_coverage")
 def _(t):
-    return curriculum.cover(t.documents.select("doc_id", "source", tx.word_template(F.col("text")).alias("k"), hard().alias("s")), "doc_id", "source", "k", "s", 15, 2)
+    novelty = F.least(F.lit(1.0), F.col("n_chars") / 400)
+    d = t.documents.select("doc_id", "source", "lang", novelty.alias("novelty"), hard().alias("hard"), F.least(F.lit(1.0), 0.5 * hard() + 0.4).alias("private_like"), tx.word_template(F.col("text")).alias("k"), tx.text_hash(F.col("text")).alias("h"))
+    d = d.join(t.labels.select("doc_id", F.col("toxic").alias("ambiguity")), "doc_id", "left")  # texts are not shuffled
+    private = d.where(split_of(F.col("doc_id")) == "holdout").select("h").distinct()
+    c = d.where((F.coalesce("ambiguity", F.lit(1.0)) <= 0.35) & (F.col("novelty") >= 0.45) & (F.col("hard") >= 0.45)).join(private, "h", "left_anti")
+    order = [~F.col("lang").isin("de", "fr"), -F.col("private_like"), -F.col("novelty"), F.col("lang"), F.col("source")]
+    return curriculum.cover(c, "doc_id", "source", "k", order, 15, 2, 4000, 600)
 
 
 @query("smp12_private_like_tail", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 15")
