@@ -13,7 +13,9 @@ the marginals are exact at the cost of the suspect words alone.
 
 The model is fitted on the driver on at most TOXIC_ROWS and CLEAN_ROWS labelled
 documents (those with the least hash of their id, and of these the ones of at
-most TRAIN_CHARS code points); class sizes are counted over all labelled rows. Every whole text is scored.
+most TRAIN_CHARS code points); class sizes are counted over all labelled rows. Of n sequences of a class, SEQUENCES or more,
+each (n // SEQUENCES)th is fitted, with that weight: fewer than 2 * SEQUENCES, spread
+over all its documents. Every whole text is scored.
 
 Defined cases: null text is empty; a text without words is scored as one without
 suspect words; without labelled documents of both classes every score is 0;
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 
-#: Bounds of the training sample, of its documents' code points, and of a training sequence's words.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS, SEQUENCE = 1_500, 3_000, 50_000, 48
+#: Bounds of the training sample, of its documents' code points, and of a training sequence's words; sequences of a class from which only each second, third ... takes part.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS, SEQUENCE, SEQUENCES = 1_500, 3_000, 50_000, 48, 12_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7, 8)
 _SETTLED = 256
@@ -245,8 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pure = {f for f, p in share.items() if p >= 0.75}
     a, la = _chains(toxic, True, crf.index, pure)
     b, lb = _chains(clean, False, crf.index, pure)
-    step = max(1, len(b) // 12_000)
-    crf.fit(a[:12_000] + b[::step], la[:12_000] + lb[::step], np.r_[np.ones(len(a[:12_000])), np.full(len(b[::step]), per_clean * step)])
+    i, j = (max(1, len(x) // SEQUENCES) for x in (a, b))
+    crf.fit(a[::i] + b[::j], la[::i] + lb[::j], np.r_[np.full(len(a[::i]), float(i)), np.full(len(b[::j]), per_clean * j)])
     table_ = []
     for text in (*toxic, *clean):
         words = _WORD.findall(text)
