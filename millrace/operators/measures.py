@@ -62,6 +62,15 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.element_at(values, (F.bround((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
 
 
+def nearest_rank_rows(df: DataFrame, keys: list, value: str, q: float, alias: str) -> DataFrame:
+    """(keys, alias): nearest_rank() of each key by a sort that can spill, for keys of any number of rows; null values are left out."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    ranked = known.select(*keys, value, at.alias("__at"), n.alias("__n"))
+    return ranked.where(F.col("__at") == F.bround((F.col("__n") - 1) * F.lit(q)) + 1).select(*keys, F.col(value).alias(alias))
+
+
 def versus_baseline(df: DataFrame, variant: str, value: Column, keys: list, baseline: Column) -> DataFrame:
     """By keys: count, mean, least, most, best variant, and the best variant's lead over the baseline's mean.
 

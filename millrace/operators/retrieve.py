@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.operators.lineage import cut
 
 #: Rows of a block of vectors and of queries.
 BLOCK = 8_192
@@ -101,19 +102,16 @@ def threshold_clusters(sets: DataFrame, key: str, items: str, least: float, most
     Labels spread by a minimum over neighbours, with a jump to the label's own label, until nothing changes.
     """
     e = jaccard_links(sets, key, items, least)
-    e = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().cache()
-    label = sets.select(F.col(key).alias("id"), F.col(key).alias("cluster"))
-    total = None
+    e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    label = cut(sets.select(F.col(key).alias("id"), F.col(key).alias("cluster")))
     for _ in range(most_rounds):
         near = e.join(label.select(F.col("id").alias("y"), "cluster"), "y").groupBy(F.col("x").alias("id")).agg(F.min("cluster").alias("m"))
-        low = label.join(near, "id", "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        low = label.join(near, "id", "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), F.col("cluster").alias("was"))
         own = low.select(F.col("id").alias("cluster"), F.col("cluster").alias("c2"))
-        label = low.join(own, "cluster").select("id", F.col("c2").alias("cluster")).cache()
-        now = label.agg(F.sum("cluster")).head()[0]
-        if now == total:
-            break
-        total = now
-    return label.withColumnRenamed("id", key)
+        label = cut(low.join(own, "cluster").select("id", F.col("c2").alias("cluster"), "was"))
+        if label.where("cluster <> was").isEmpty():
+            return label.select(F.col("id").alias(key), "cluster")
+    raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:

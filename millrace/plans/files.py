@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import shared_folder
 from millrace.plans.registry import query
 from millrace.sources import readers, writers
 from millrace.streaming import streams
 
 
 def folder(t, name: str) -> str:
-    """A new path in the folder that all executors share (a temporary one where the session names none)."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _PART = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"

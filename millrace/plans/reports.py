@@ -11,6 +11,7 @@ from millrace.operators.grouping import grouping_sets
 from millrace.operators.ordering import numeric_first, positions, positions_by
 from millrace.operators.thresholds import best_threshold
 from millrace.plans.registry import query
+from millrace.sources import writers
 
 _G1 = "SELECT l_returnflag, l_linestatus, l_shipmode_, count(*) AS n, avg(l_quantity) AS q, sum(l_extendedprice) AS p, avg((l_discount > 0.05)::INT) AS late FROM (SELECT *, l_linenumber AS l_shipmode_ FROM lineitem) GROUP BY ALL"
 
@@ -268,10 +269,10 @@ def _(t):
     return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("man02_stage_manifest", "SELECT o_orderstatus AS stage, count(*) AS row_count, count(*) FILTER (WHERE o_totalprice > 100000) AS accepted, count(*) FILTER (WHERE o_totalprice <= 100000) AS rejected, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS payload FROM orders GROUP BY 1")
+@query("man02_stage_manifest", "SELECT o_orderstatus AS stage, count(*) AS row_count, count(*) FILTER (WHERE o_totalprice > 100000) AS accepted, count(*) FILTER (WHERE o_totalprice <= 100000) AS rejected, sum(('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 12))::BIGINT)::VARCHAR AS payload FROM orders GROUP BY 1")
 def _(t):
     ok = F.col("o_totalprice") > 100000
-    return t.orders.groupBy(F.col("o_orderstatus").alias("stage")).agg(F.count("*").alias("row_count"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ","), 256).alias("payload"))
+    return t.orders.groupBy(F.col("o_orderstatus").alias("stage")).agg(F.count("*").alias("row_count"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), writers.head_sum(F.col("o_orderkey").cast("string")).alias("payload"))
 
 
 @query("win07_cluster_ranking", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS place FROM lineitem")

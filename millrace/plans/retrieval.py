@@ -9,6 +9,7 @@ from millrace.functions import numbers as num
 from millrace.functions import text as tx
 from millrace.operators import measures, retrieve
 from millrace.plans.registry import query
+from millrace.sources import writers
 
 _COS = "list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0)"
 _TOP = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS query_label, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id"
@@ -143,10 +144,9 @@ def _(t):
     return s.select("label", "n", "share", (F.col("n") >= 30).alias("promoted"))
 
 
-@query("ret03_index_build", r"SELECT source, count(*) AS n, sha1(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS fingerprint, sum(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))))::BIGINT AS postings FROM documents GROUP BY source")
+@query("ret03_index_build", r"SELECT source, count(*) AS n, sum(('0x' || substr(sha256(doc_id::VARCHAR), 1, 12))::BIGINT)::VARCHAR AS fingerprint, sum(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))))::BIGINT AS postings FROM documents GROUP BY source")
 def _(t):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sha1(ids.cast("binary")).alias("fingerprint"), F.sum(F.size(F.array_distinct(tx.tokens(F.col("text"))))).alias("postings"))
+    return t.documents.groupBy("source").agg(F.count("*").alias("n"), writers.head_sum(F.col("doc_id").cast("string")).alias("fingerprint"), F.sum(F.size(F.array_distinct(tx.tokens(F.col("text"))))).alias("postings"))
 
 
 @query("ret01_hash_embedding")

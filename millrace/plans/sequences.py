@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers as num
 from millrace.operators import graphs, measures, rows, sequences
+from millrace.operators.lineage import cut
 from millrace.plans.registry import query
 
 SEQ = (["user_id"], ["ts", "event_id"], "event_type")
@@ -146,7 +147,7 @@ def _(t):
 
 @query("agg39_nearest_rank", "SELECT user_id, list_sort(list(value))[round_even((count(*) - 1) * 0.95::DOUBLE, 0)::INT + 1] AS p95 FROM events GROUP BY user_id")
 def _(t):
-    return t.events.groupBy("user_id").agg(measures.nearest_rank(F.array_sort(F.collect_list("value")), 0.95).alias("p95"))
+    return measures.nearest_rank_rows(t.events, ["user_id"], "value", 0.95, "p95")
 
 
 @query("agg31_loss_history", "SELECT user_id, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last, min(value) AS least, max(value) AS most, count(*) FILTER (WHERE isnan(value) OR isinf(value)) AS odd FROM events GROUP BY user_id")
@@ -261,8 +262,12 @@ def _(t):
 
 @query("agg45_truncation_audit", "WITH n AS (SELECT conv_id, sum(length(coalesce(text, '')))::BIGINT AS chars, count(*) FILTER (WHERE role = 'assistant') AS answers FROM conversations GROUP BY conv_id) SELECT count(*) FILTER (WHERE chars > 2000) AS truncated, count(*) FILTER (WHERE answers = 0) AS zero_supervised, list_sort(list(chars))[round_even((count(*) - 1) * 0.95::DOUBLE, 0)::INT + 1] AS p95 FROM n")
 def _(t):
-    n = t.conversations.groupBy("conv_id").agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.count_if(F.col("role") == "assistant").alias("answers"))
-    return n.agg(F.count_if(F.col("chars") > 2000).alias("truncated"), F.count_if(F.col("answers") == 0).alias("zero_supervised"), F.element_at(F.array_sort(F.collect_list("chars")), (F.bround((F.count("*") - 1) * F.lit(0.95)) + 1).cast("int")).alias("p95"))
+    n = cut(t.conversations.groupBy("conv_id").agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.count_if(F.col("role") == "assistant").alias("answers")))
+    by_chars = n.groupBy("chars").agg(F.count("*").alias("n"))
+    # One row for each length: the value that the rank falls in.
+    at = by_chars.select("chars", F.sum("n").over(Window.orderBy("chars")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    p95 = at.where(F.col("upto") > F.bround((F.col("all") - 1) * F.lit(0.95))).agg(F.min("chars").alias("p95"))
+    return n.agg(F.count_if(F.col("chars") > 2000).alias("truncated"), F.count_if(F.col("answers") == 0).alias("zero_supervised")).crossJoin(F.broadcast(p95))
 
 
 @query("evl14_process_reward", """

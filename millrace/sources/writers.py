@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.rows import first_wins
 from millrace.sources.readers import exists
 
 
@@ -17,20 +18,25 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     json_lines(df).write.text(path)
 
 
+def head_sum(c: Column) -> Column:
+    """An order-free digest of a group's values: the sum of the first 48 bits of their SHA-256, merged from partial sums."""
+    return F.sum(F.conv(F.substring(F.sha2(c, 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def digest(df: DataFrame, *keys: str) -> DataFrame:
-    """A manifest row (or one for each key): rows, and an order-free digest of the rows' JSON lines.
+    """A manifest row (or one for each key): rows, and an order-free digest of the rows' JSON lines."""
+    line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    return df.groupBy(*keys).agg(F.count("*").alias("row_count"), head_sum(line).alias("digest"))
 
-    The digest is the sum of the lines' SHA-256 heads, so it is merged from partial sums and needs no order.
-    """
-    line = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    head = F.conv(F.substring(line, 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.withColumn("__h", head).groupBy(*keys).agg(F.count("*").alias("row_count"), F.sum("__h").cast("string").alias("digest"))
 
+def append_new(df: DataFrame, path: str, key: str, order: list | None = None) -> int:
+    """Appends the rows whose key the table at path lacks; returns how many.
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key the table at path lacks (the first of each key); returns how many."""
+    Of rows with one key the first in `order` is written; without an order, the
+    one with the least digest of all its columns.
+    """
     spark = df.sparkSession
-    new = df.dropDuplicates([key])
+    new = first_wins(df, [key], order or [F.xxhash64(*[F.col(c) for c in sorted(df.columns)])])
     if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new = new.cache()
