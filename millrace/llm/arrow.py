@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15 | 1
@@ -139,6 +140,17 @@ def text_shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nd
     return shingles(*words(blob, starts), len(texts), width)
 
 
+def short_batches(batch: pa.RecordBatch, column: int, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in parts whose texts in one column have about `most` bytes, one row at least."""
+    kind = batch.column(column)
+    sizes = np.fromiter((0 if n is None else n for n in pc.binary_length(kind).to_pylist()), dtype=np.int64, count=batch.num_rows)
+    ends, lo, size = np.cumsum(sizes), 0, 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, size + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo, size = hi, int(ends[hi - 1])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

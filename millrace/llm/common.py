@@ -1,39 +1,23 @@
-"""What the operators of this folder share: tables, checkpoints, names."""
+"""What the operators of this folder share: tables, checkpoints (cut), names."""
 
 from __future__ import annotations
 
-import tempfile
-import threading
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage import cut
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "cut", "hash128", "lower_ascii", "table", "with_outputs"]
+
 #: The white space of the contracts: space, tab, LF, VT, FF, CR.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_lock = threading.Lock()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder all executors share, its lineage cut.
-
-    The folder is spark.checkpoint.dir. Where the session has none (a
-    single machine, as in tests) a temporary one is set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    with _lock:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint(eager=True)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

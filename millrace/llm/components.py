@@ -51,7 +51,9 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     Alternates two star steps (Kiveris et al. 2014) until nothing changes: each
     node's larger neighbours are linked to its least one, then its smaller ones.
     Every round is a fixed number of group-bys and joins on nodes. A hub's
-    neighbours meet its least one by a join, which splits, not in a list.
+    neighbours meet its least one by a join, not in a list; the least ones are
+    written first, so that both sides of the join are read from exchanges of
+    their own and adaptive execution splits a hub's.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.count() <= ONE_TASK:
@@ -59,9 +61,9 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.where("u <> v").distinct())
         # A fixed point is a set of stars: as many edges, with the same digest, as the round before.
