@@ -19,10 +19,17 @@ more. No step emits the pairs of a group, and the result is exact:
    shingles, counts the common shingles of all its texts at once.
 6. All links found make the components.
 
+Exact means exact up to hashes: shingles are told apart by 52 bits and equal
+sets found by 128. Two different shingles of a pair of texts with a million
+shingles in all meet with a chance of about 1 in 9,000, and only a pair within
+one shingle of the threshold would change.
+
 Defined cases: null or empty text and text without words have an empty set and
 link with nothing; a text of fewer words than five has one shingle of all its
-words; rows that share an id are separate texts; a component's id is its least
-id, null if all are null; an empty table gives an empty result.
+words; a very long text is one set, cut by shingle when it travels; rows that
+share an id are separate texts, repeated rows are one node; a component's id is
+its least id, null if all are null; other columns are not carried; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,7 +226,9 @@ def _stars(sets: DataFrame, slot: int, percent: int) -> DataFrame:
     """
     slim = sets.select("key", F.element_at("mins", slot + 1).alias("m"))
     counts = slim.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
-    chief = slim.withColumn("r", F.expr("row_number() OVER (PARTITION BY m ORDER BY key)")).where(F.col("r") <= LEADERS).select("key", "r")
+    # The first LEADERS of parts of a group, then of these: no task sees all of a large group.
+    part = slim.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).cast("int")).withColumn("r", F.expr("row_number() OVER (PARTITION BY m, s ORDER BY key)")).where(F.col("r") <= LEADERS).drop("r")
+    chief = cut(part.select("key", "m")).withColumn("r", F.expr("row_number() OVER (PARTITION BY m ORDER BY key)")).where(F.col("r") <= LEADERS).select("key", "r")
     grouped = slim.join(counts, "m").join(_small(cut(chief)), "key", "left")
     # Leaders go to every salt of their group and are told apart from its members by their rank.
     places = F.when(F.col("r").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")))
@@ -404,7 +414,10 @@ def _opened(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of df: id, key (its set; null if empty), n_shingles, component (of keys), component_id."""
+    """A row for each row of df: id, key (its set; null if empty), n_shingles, component (of keys), component_id, text_hash (Spark's xxhash64).
+
+    An output that has the id column's name is left out.
+    """
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     volume = docs.agg(F.sum(F.octet_length("__text"))).head()[0] or 0
     buckets = _buckets(volume // 6)
@@ -421,7 +434,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     size += int(sizes_[hi])
                     hi += 1
                 part = batch.slice(lo, hi - lo)
-                ids, texts = [str(x) for x in part.column(0).to_pylist()], [t.encode() for t in part.column(1).to_pylist()]
+                texts = [t.encode() for t in part.column(1).to_pylist()]
+                # A row is named by the hash of its text and its id, null apart from all texts.
+                ids = [f"{xxhash.xxh64_hexdigest(t, seed=42)}{'-' if x is None else f'={x}'}" for x, t in zip(part.column(0).to_pylist(), texts, strict=True)]
                 found: dict[tuple[int, int], int] = {}
                 tokens, where, sizes, sigs, keys = [], [], [], [], []
                 for a, b, token, at in shingle_sets(texts, width):
@@ -469,7 +484,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     wire = docs.mapInArrow(blocks, _WIRE_DDL)
     answered = wire.groupBy("bucket").applyInArrow(_answer, _WIRE_DDL)
     rows = answered.groupBy("block").applyInArrow(rows_of, "id string, key string, n bigint, shared bigint")
-    rows = cut(rows.select(F.when(F.col("id") != "None", F.col("id")).cast(kind).alias("id"), "key", "n", "shared"))
+    name = F.when(F.substring("id", 17, 1) == "=", F.substring(F.col("id"), 18, 1 << 30))
+    rows = cut(rows.select(name.cast(kind).alias("id"), F.conv(F.substring("id", 1, 16), 16, -10).cast("long").alias("text_hash"), "key", "n", "shared"))
     nodes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("shared").alias("shared"))
     nodes = cut(nodes)
     likely = nodes.where(F.col("shared") * 100 >= F.col("n") * percent)
@@ -516,8 +532,33 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     of = nodes.select("key", "least").join(stars.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = of.select("key", "component").join(least, "component")
-    out = rows.join(of, "key", "left").select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), "component", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    outputs = {
+        "key": F.col("key"), "n_shingles": F.col("n"), "component": F.col("component"),
+        "component_id": F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")), "text_hash": F.col("text_hash"),
+    }
+    mine = [v.alias(k) for k, v in outputs.items() if k != id_col.lower()]
+    return rows.join(of, "key", "left").select(F.col("id").alias(id_col), *mine)
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """df without near copies: of the rows of a component the one of least id and, of these, least text hash stays.
+
+    A row is its id and its text (by a 64-bit hash, xxhash64), so rows that share an id but not a text are
+    kept or dropped apart; of repeated rows one stays, the least of its other
+    columns. Rows without words are in no component and all stay.
+    """
+    placed = ngram_join(df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")), "__i", "__t", width, percent)
+    placed = placed.where("component IS NOT NULL").select("__i", "text_hash", "component")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("__i").isNull().alias("no"), "__i", "text_hash")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    named = placed.join(_small(cut(first)), "component").withColumn("stays", (F.col("__i").eqNullSafe(F.col("f.__i"))) & (F.col("text_hash") == F.col("f.text_hash")))
+    of = cut(named.groupBy("__i", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"))
+    rows = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    met = rows.join(_small(of), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("text_hash")), "left")
+    single = met.where("stays IS NULL").select(*df.columns)
+    if of.where("stays").isEmpty():
+        return single
+    again = rows.join(of.where("stays"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("text_hash")), "left_semi")
+    return single.unionByName(again.groupBy(id_col, "__h").agg(F.min(F.struct(*df.columns)).alias("r")).select("r.*"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
