@@ -11,16 +11,22 @@ Words without a weighted feature all have the same factor, so the chain between
 two suspect words is a power of one 2 x 2 matrix; powers settle to a limit, and
 the marginals are exact at the cost of the suspect words alone.
 
-The model is fitted on the driver on at most TOXIC_ROWS and CLEAN_ROWS labelled
-documents (those with the least hash of their id, and of these the ones of at
-most TRAIN_CHARS code points); class sizes are counted over all labelled rows. Of n sequences of a class, SEQUENCES or more,
-each (n // SEQUENCES)th is fitted, with that weight: fewer than 2 * SEQUENCES, spread
-over all its documents. Every whole text is scored.
+The model is fitted on the driver on a bounded sample, whose bounds are the
+constants below: of the labelled documents that are there and have at most
+TRAIN_CHARS code points, the TOXIC_ROWS and CLEAN_ROWS with the least hash of
+their id. Class sizes are counted over all labelled documents and weigh the
+sample. At most FEATURES features have a weight. Of n sequences of a class,
+SEQUENCES or more, each (n // SEQUENCES)th is fitted, with that weight: fewer
+than 2 * SEQUENCES, spread over all its documents. Every whole text is scored,
+very long ones too, some megabytes of text at once.
 
 Defined cases: null text is empty; a text without words is scored as one without
-suspect words; without labelled documents of both classes every score is 0;
-labels that repeat or are null are counted once or not at all; an empty table
-gives an empty result.
+suspect words; without labelled documents of both classes every score is 0; a
+label that is null, or neither 0 nor 1, is none; of labels that disagree the
+toxic one counts; of rows that share an id the one of least text hash is trained
+on, and all are scored; ties of the hash go to the smaller id; an empty table
+gives an empty result; columns of the input pass through unless an output has
+their name.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.arrow import short_batches
+from millrace.llm.common import cut, table
 
-#: Bounds of the training sample, of its documents' code points, and of a training sequence's words; sequences of a class from which only each second, third ... takes part.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS, SEQUENCE, SEQUENCES = 1_500, 3_000, 50_000, 48, 12_000
+#: Bounds of the training sample: documents of each class, code points of one, words of a training sequence, features,
+#: and sequences of a class from which only each second, third ... takes part.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS, SEQUENCE, FEATURES, SEQUENCES = 1_500, 3_000, 50_000, 48, 4_000, 12_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7, 8)
 _SETTLED = 256
@@ -49,32 +57,36 @@ def features(word: str) -> list[str]:
     return ["=" + w, *(w[:n] for n in _PREFIXES if len(w) >= n)]
 
 
-def _select(toxic: list[str], clean: list[str], clean_weight: float, least: int = 3, purity: float = 0.6, most: int = 4_000) -> dict[str, float]:
-    """Features that toxic documents have nearly alone, with their (smoothed) share of toxic documents."""
+def _select(toxic: list[list[str]], clean: list[list[str]], clean_weight: float, of: dict[str, list[str]], least: int = 3, purity: float = 0.6) -> dict[str, float]:
+    """Features that toxic documents have nearly alone, with their (smoothed) share of toxic documents. of: each word's features."""
     a: Counter = Counter()
-    for text in toxic:
-        a.update({f for w in set(_WORD.findall(text)) for f in features(w)})
+    for words in toxic:
+        a.update({f for w in set(words) for f in of[w]})
     kept = {f for f, n in a.items() if n >= least}
+    near = {w: fs for w, found in of.items() if (fs := [f for f in found if f in kept])}
     b: Counter = Counter()
-    for text in clean:
-        b.update({f for w in set(_WORD.findall(text)) for f in features(w) if f in kept})
+    for words in clean:
+        b.update({f for w in near.keys() & set(words) for f in near[w]})
     share = {f: a[f] / (a[f] + clean_weight * b[f] + 1.0) for f in kept}
-    best = sorted((f for f in kept if share[f] >= purity), key=lambda f: (-a[f] * share[f], f))[:most]
+    best = sorted((f for f in kept if share[f] >= purity), key=lambda f: (-a[f] * share[f], f))[:FEATURES]
     return {f: share[f] for f in best}
 
 
-def _chains(texts: list[str], toxic: bool, index: dict[str, int], pure: set[str]) -> tuple[list[list[list[int]]], list[list[int]]]:
+def _chains(texts: list[list[str]], toxic: bool, index: dict[str, int], pure: set[str], of: dict[str, list[str]]) -> tuple[list[list[list[int]]], list[list[int]]]:
     """Sequences of at most SEQUENCE words with a suspect word, and one without in every document: features' numbers, and labels."""
     seqs, labels = [], []
-    for text in texts:
-        words = _WORD.findall(text)
+    none: list[int] = []
+    known = {w: fs for w, found in of.items() if (fs := [index[f] for f in found if f in index])}
+    bad = {w for w in known if toxic and any(f in pure for f in of[w])}
+    for words in texts:
         plain = True
         for lo in range(0, len(words), SEQUENCE):
-            found = [[index[f] for f in features(w) if f in index] for w in words[lo : lo + SEQUENCE]]
+            part = words[lo : lo + SEQUENCE]
+            found = [known.get(w, none) for w in part]
             if any(found) or plain:
                 plain = plain and any(found)
                 seqs.append(found)
-                labels.append([int(toxic and any(f in pure for f in features(w))) if fs else 0 for w, fs in zip(words[lo : lo + SEQUENCE], found, strict=True)])
+                labels.append([int(w in bad) for w in part])
     return seqs, labels
 
 
@@ -89,50 +101,54 @@ class Crf:
         self.memo: dict[str, float] = {}
 
     def fit(self, seqs: list, labels: list, weight: np.ndarray, rounds: int = 120, rate: float = 0.25, ridge: float = 1e-3) -> None:
-        """Gradient ascent (Adam) of the weighted mean log-likelihood."""
-        n, width = len(seqs), max(len(s) for s in seqs)
-        row = np.array([i for i, s in enumerate(seqs) for fs in s for _ in fs], dtype=np.int64)
-        col = np.array([t for s in seqs for t, fs in enumerate(s) for _ in fs], dtype=np.int64)
+        """Gradient ascent (Adam) of the weighted mean log-likelihood.
+
+        Of two states only ratios matter, so forward and backward are one number
+        a word. Sequences are in order of length and a place's row holds those
+        that reach it.
+        """
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+        seqs, labels, weight = [seqs[i] for i in order], [labels[i] for i in order], weight[order] / weight.sum()
+        n, width = len(seqs), max(1, len(seqs[0]))
+        size = np.array([len(s) for s in seqs])
+        live = [int((size > t).sum()) for t in range(width)]
+        spot = np.array([t * n + i for i, s in enumerate(seqs) for t, fs in enumerate(s) for _ in fs], dtype=np.int64)
         feat = np.array([f for s in seqs for fs in s for f in fs], dtype=np.int64)
-        y, size = np.zeros((n, width), dtype=np.int64), np.array([len(s) for s in labels])
+        y = np.zeros((width, n))
         for i, l in enumerate(labels):
-            y[i, : len(l)] = l
-        live = np.arange(width)[None, :] < size[:, None]
-        weight = weight / weight.sum()
-        mass = weight[:, None] * live
-        pair = mass[:, 1:]
-        gold_t = np.array([[(pair * ((y[:, :-1] == i) & (y[:, 1:] == j))).sum() for j in (0, 1)] for i in (0, 1)])
-        gold_s = np.array([(mass[:, 0] * (y[:, 0] == i)).sum() for i in (0, 1)])
-        state = [np.zeros(len(self.weights) + 7), np.zeros(len(self.weights) + 7)]
+            y[: len(l), i] = l
+        mass = np.where(np.arange(width)[:, None] < size[None, :], weight[None, :], 0.0)
+        pair = mass[1:]
+        gold_t = np.array([(pair * ((y[:-1] == i) & (y[1:] == j))).sum() for i in (0, 1) for j in (0, 1)])
+        gold_s = np.array([(mass[0] * (y[0] == i)).sum() for i in (0, 1)])
+        k = len(self.weights)
+        state = [np.zeros(k + 7), np.zeros(k + 7)]
         for step in range(1, rounds + 1):
-            score = np.full((n, width), self.bias)
-            np.add.at(score, (row, col), self.weights[feat])
-            emit = np.stack([np.ones((n, width)), np.exp(np.clip(score, -30, 30))], axis=2)
-            emit[~live] = 1.0
-            move = np.exp(self.trans)
-            fwd, bwd = np.empty((n, width, 2)), np.ones((n, width, 2))
-            fwd[:, 0] = np.exp(self.start) * emit[:, 0]
-            fwd[:, 0] /= fwd[:, 0].sum(axis=1, keepdims=True)
+            score = self.bias + np.bincount(spot, weights=self.weights[feat], minlength=n * width).reshape(width, n)
+            emit = np.exp(np.clip(score, -30, 30))
+            m00, m01, m10, m11 = np.exp(self.trans).ravel().tolist()
+            fwd, bwd = np.ones((width, n)), np.ones((width, n))
+            fwd[0] = np.exp(self.start[1] - self.start[0]) * emit[0]
             for t in range(1, width):
-                nxt = (fwd[:, t - 1] @ move) * emit[:, t]
-                nxt = np.where(live[:, t, None], nxt, fwd[:, t - 1])
-                fwd[:, t] = nxt / nxt.sum(axis=1, keepdims=True)
+                f = fwd[t - 1, : live[t]]
+                fwd[t, : live[t]] = emit[t, : live[t]] * (m01 + m11 * f) / (m00 + m10 * f)
             for t in range(width - 2, -1, -1):
-                back = (bwd[:, t + 1] * emit[:, t + 1]) @ move.T
-                bwd[:, t] = np.where(live[:, t + 1, None], back / back.sum(axis=1, keepdims=True), 1.0)
+                g = emit[t + 1, : live[t + 1]] * bwd[t + 1, : live[t + 1]]
+                bwd[t, : live[t + 1]] = (m10 + m11 * g) / (m00 + m01 * g)
             post = fwd * bwd
-            post /= post.sum(axis=2, keepdims=True)
-            both = fwd[:, :-1, :, None] * move[None, None] * (emit[:, 1:] * bwd[:, 1:])[:, :, None, :]
-            both /= both.sum(axis=(2, 3), keepdims=True)
-            miss = mass * (y - post[:, :, 1])
+            post /= 1.0 + post
+            f, g = fwd[:-1], emit[1:] * bwd[1:]
+            both = [np.full_like(f, m00), m01 * g, m10 * f, m11 * f * g]
+            share = pair / sum(both)
+            miss = mass * (y - post)
+            toxic_start = float((weight * post[0]).sum())
             grad = np.concatenate([
-                np.bincount(feat, weights=miss[row, col], minlength=len(self.weights)) - ridge / len(self.weights) * self.weights,
-                [miss.sum()], gold_s - (weight[:, None] * post[:, 0]).sum(axis=0), (gold_t - (pair[:, :, None, None] * both).sum(axis=(0, 1))).ravel(),
+                np.bincount(feat, weights=miss.ravel()[spot], minlength=k) - ridge / k * self.weights,
+                [miss.sum()], gold_s - np.array([weight.sum() - toxic_start, toxic_start]), gold_t - np.array([(share * x).sum() for x in both]),
             ])
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.99 * state[1] + 0.01 * grad * grad
             move_by = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-            k = len(self.weights)
             self.weights = self.weights + move_by[:k]
             self.bias += float(move_by[k])
             self.start = self.start + move_by[k + 1 : k + 3]
@@ -228,31 +244,33 @@ class Crf:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf | None:
     """A model from labels (id, label 0 or 1) of docs; None without documents of both classes."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)").dropDuplicates(["__id"])
-    sizes = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)").groupBy("__id").agg(F.max("__y").cast("int").alias("__y"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("__id"), F.when(F.char_length(text) <= TRAIN_CHARS, F.xxhash64(text)).alias("__h"))
+    # Labelled documents that are there, without their texts: counted by class, then a bounded number chosen.
+    there = cut(slim.join(known, "__id").groupBy("__id", "__y").agg(F.min("__h").alias("__h")))
+    sizes = {r["__y"]: r["count"] for r in there.groupBy("__y").count().collect()}
     if len(sizes) < 2:
         return None
-    pick = lambda y, n: known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
+    pick = lambda y, n: there.where((F.col("__y") == y) & F.col("__h").isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(n)
     chosen = F.broadcast(pick(1, TOXIC_ROWS).unionByName(pick(0, CLEAN_ROWS)))  # at most TOXIC_ROWS + CLEAN_ROWS ids
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(chosen, "__id").where(F.char_length(F.coalesce("__t", F.lit(""))) <= TRAIN_CHARS).select("__id", "__y", "__t").dropDuplicates(["__id"]).collect()
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__t")).withColumn("__h", F.xxhash64("__t")).join(chosen, ["__id", "__h"]).dropDuplicates(["__id"]).select("__id", "__y", "__t").collect()
     rows = sorted(rows, key=lambda r: (r["__y"], str(r["__id"])))
-    toxic, clean = ([r["__t"] or "" for r in rows if r["__y"] == y] for y in (1, 0))
+    toxic, clean = ([_WORD.findall(r["__t"]) for r in rows if r["__y"] == y] for y in (1, 0))
     if not toxic or not clean:
         return None
     per_clean = (sizes[0] / len(clean)) / (sizes[1] / len(toxic))
-    share = _select(toxic, clean, per_clean)
+    of = {w: features(w) for w in set().union(*toxic, *clean)}
+    share = _select(toxic, clean, per_clean, of)
     if not share:
         return None
     crf = Crf({f: i for i, f in enumerate(share)})
     pure = {f for f, p in share.items() if p >= 0.75}
-    a, la = _chains(toxic, True, crf.index, pure)
-    b, lb = _chains(clean, False, crf.index, pure)
+    a, la = _chains(toxic, True, crf.index, pure, of)
+    b, lb = _chains(clean, False, crf.index, pure, of)
     i, j = (max(1, len(x) // SEQUENCES) for x in (a, b))
     crf.fit(a[::i] + b[::j], la[::i] + lb[::j], np.r_[np.full(len(a[::i]), float(i)), np.full(len(b[::j]), per_clean * j)])
-    table_ = []
-    for text in (*toxic, *clean):
-        words = _WORD.findall(text)
-        table_.append(crf.summary(len(words), crf.marginals(words)[1]))
+    table_ = [crf.summary(len(words), crf.marginals(words)[1]) for words in (*toxic, *clean)]
     crf.fit_head(np.array(table_), np.r_[np.ones(len(toxic)), np.zeros(len(clean))], np.r_[np.ones(len(toxic)), np.full(len(clean), per_clean)])
     crf.memo = {}
     return crf
@@ -269,7 +287,7 @@ def score_texts(df: DataFrame, crf: Crf | None, text_col: str = "text", spans: b
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in short_batches(whole, len(carried))):
             scores, marked = [], []
             for text in batch.column(len(carried)).to_pylist():
                 words = _WORD.findall(text)
@@ -296,5 +314,5 @@ def trained(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Crf | None:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, trained(spark, sf_dir, docs), spans=False)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    scored = score_texts(docs, trained(spark, sf_dir, docs))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
