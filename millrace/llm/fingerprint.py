@@ -15,14 +15,18 @@ fingerprint_neighbours() also needs the next document in the order of ids. The
 ids' quantiles (a bounded number) cut the ids into ranges; a range's first
 document goes to the range before it too, and each range is read in order.
 Defined cases: null text is empty; a null id comes first; rows that share an id
-follow each other by text; a table of one row is its own next; an empty table
-gives an empty result.
+follow each other by text, repeated rows are each other's next; a table of one
+row is its own next; very long texts are hashed alone; fingerprint() passes the
+input's columns through unless one is named fingerprint, of
+fingerprint_neighbours() only the id is carried; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import mix64, sliced, text_shingles
+from millrace.llm.arrow import mix64, short_batches, sliced, text_shingles, utf8
 from millrace.llm.common import table
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -95,8 +99,8 @@ def fingerprint(df: DataFrame, text_col: str = "text", bins: int = 512, bits: in
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(len(carried)).to_pylist()]
+        for batch in (part for whole in batches for part in short_batches(whole, len(carried))):
+            texts = utf8(batch.column(len(carried)))
             prints = [p for lo, hi in sliced(texts) for p in packed(fingerprints(texts[lo:hi], bins, bits), bits)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(prints, pa.string())], names=[*carried, "__f"])
 
@@ -115,20 +119,21 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str
     ids = rows.select("__at")
     n, parts = ids.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(65_536, 8 * parts) if n else 1
-    shares = ", ".join(str(i / ranges) for i in range(1, ranges))
-    cuts = sorted({lowest, *(int(x) for x in ids.selectExpr(f"percentile_approx(__at, array({shares}), 20000) AS q").head()[0])}) if ranges > 1 else [lowest]
+    shares = json.dumps([i / ranges for i in range(1, ranges)])
+    cuts = sorted({lowest, *(int(x) for x in ids.selectExpr(f"percentile_approx(__at, from_json('{shares}', 'array<double>'), 20000) AS q").head()[0])}) if ranges > 1 else [lowest]
     # A range goes from one cut, with it, to the next. It is found in two steps of about the root of their number.
+    # Tables of ranges are one literal each (JSON that the optimizer folds), however many ranges there are.
     step = max(1, int(len(cuts) ** 0.5))
-    long_ = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    literal = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), f"array<{kind}>")
     below = lambda xs: F.size(F.filter(xs, lambda e: e <= F.col("__at")))
-    coarse = below(long_(cuts[::step]))
-    bucket = ((coarse - 1) * step + below(F.element_at(F.array(*[long_(cuts[i : i + step]) for i in range(0, len(cuts), step)]), coarse)) - 1).cast("int")
+    coarse = below(literal(cuts[::step], "bigint"))
+    bucket = ((coarse - 1) * step + below(F.element_at(literal([cuts[i : i + step] for i in range(0, len(cuts), step)], "array<bigint>"), coarse)) - 1).cast("int")
     firsts = {r["b"]: r["m"] for r in ids.select(bucket.alias("b"), "__at").groupBy("b").agg(F.min("__at").alias("m")).collect()}  # one row a range
     order = sorted(firsts)
     # By range: its first document's id, and the range that holds the document before.
-    first_id = F.element_at(long_([firsts.get(b, lowest) for b in range(len(cuts))]), bucket + 1)
+    first_id = F.element_at(literal([firsts.get(b, lowest) for b in range(len(cuts))], "bigint"), bucket + 1)
     previous = {b: order[i - 1] for i, b in enumerate(order)}
-    extra = F.when(first_id == F.col("__at"), F.element_at(F.array(*[F.lit(previous.get(b, 0)) for b in range(len(cuts))]), bucket + 1))
+    extra = F.when(first_id == F.col("__at"), F.element_at(literal([previous.get(b, 0) for b in range(len(cuts))], "int"), bucket + 1))
     copies = F.when(extra.isNotNull(), F.array(F.struct(bucket.alias("b"), F.lit(0).alias("tail")), F.struct(extra.alias("b"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("tail"))))
     dealt = rows.withColumn("__x", F.explode(copies)).select("__id", "__at", "__text", F.col("__x.b").alias("__b"), F.col("__x.tail").alias("__tail"))
     dealt = dealt.repartition(parts, "__b").sortWithinPartitions("__b", "__tail", "__at", "__text")
@@ -152,7 +157,7 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str
                 names=["__id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in short_batches(whole, 2)):
             part, nexts, size = [], [], 0
             for i, t, b, tail in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if held is not None and held[2] == b and not held[3]:
