@@ -3,12 +3,18 @@ group of near copies, mix the sources to their weights, encode.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
 run() writes what a stage returns as Parquet to the folder that all executors
-share and reads it again as the next one's docs. Null texts pass as empty.
+share and reads it again as the next one's docs.
+
+Defined cases: null texts are empty; without labels of both classes no document
+is toxic; rows that share a doc_id are one document to the line dedup and
+separate texts to the other stages; repeated rows are near copies; ties go to
+the least doc_id (near copies) or the largest (lines); very long texts pass
+every stage whole; a missing column, or columns beside those of documents, are
+not carried; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from millrace.llm.common import table
+from millrace.operators.lineage import remove, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,10 +40,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the least doc_id stays."""
-    placed = ngram_join.ngram_join(docs)
-    gone = placed.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near copies one row stays, that of the least doc_id; rows that share a doc_id are told apart by their texts."""
+    return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='millrace-')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents. What a stage wrote goes when the next one has read it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
