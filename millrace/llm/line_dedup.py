@@ -1,16 +1,20 @@
 """Line dedup: explode normalised lines, hash, count the distinct documents
 of each hash, drop lines over the threshold, reassemble by position.
 
-Only (hash, document) pairs of lines long enough to be dropped are shuffled
-for the counts; the text itself is shuffled once, to meet the positions that
-its document loses. A line that a third of all documents hold is counted by
-partial sums, and its join is split by adaptive execution.
+Lines are split and hashed once; only their hashes and positions, of lines long
+enough to be dropped, are written and shuffled for the counts. The text itself
+is shuffled once, to meet the positions that its document loses. A line that a
+third of all documents hold is counted by partial sums. The common lines are
+broadcast if they were counted to be few, else joined from a table of their
+own, so that adaptive execution can split a line's rows.
 
 Defined cases: null or empty text is one empty line; a null id is no document
 for the counts and never keeps a line that others lose; rows that share an id
-count as one document, each row keeps its own text; an empty table gives an
-empty result; columns of the input pass through unless an output has their
-name.
+count as one document, each row keeps its own text, and repeated rows lose the
+same lines; of documents that tie for a line the largest id keeps it, at every
+place it has there; a very long text is one row throughout, its lines are rows
+of hashes; an empty table gives an empty result; columns of the input pass
+through unless an output (the text, n_lines, n_dropped) has their name.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, hash128, lower_ascii, table
+from millrace.llm.common import SPACE, cut, hash128, lower_ascii, table
+
+#: Common lines (of 24 bytes each) that are broadcast; beyond it they are joined by their hashes.
+FEW = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -34,12 +41,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     lines = rows.select("__id", "__row", F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line"))
     keyed = lines.select("__id", "__row", "__pos", line_key(F.col("__line")).alias("__key")).where(F.char_length("__key") >= min_chars)
     h1, h2 = hash128(F.col("__key"))
-    seen = keyed.select("__id", "__row", "__pos", h1.alias("__h1"), h2.alias("__h2"))
-    common = (
+    seen = cut(keyed.select("__id", "__row", "__pos", h1.alias("__h1"), h2.alias("__h2")))
+    common = cut(
         seen.where(F.col("__id").isNotNull()).select("__h1", "__h2", "__id").distinct()
         .groupBy("__h1", "__h2").agg(F.count("*").alias("__n"), F.max("__id").alias("__keeper"))
         .where(F.col("__n") >= min_docs).drop("__n")
     )
+    if common.count() <= FEW:
+        common = F.broadcast(common)
     lost = (
         seen.join(common, ["__h1", "__h2"]).where(~F.col("__id").eqNullSafe(F.col("__keeper")))
         .groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__lost"))
