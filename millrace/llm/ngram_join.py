@@ -547,18 +547,21 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     kept or dropped apart; of repeated rows one stays, the least of its other
     columns. Rows without words are in no component and all stay.
     """
-    placed = ngram_join(df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")), "__i", "__t", width, percent)
-    placed = placed.where("component IS NOT NULL").select("__i", "text_hash", "component")
-    first = placed.groupBy("component").agg(F.min(F.struct(F.col("__i").isNull().alias("no"), "__i", "text_hash")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-    named = placed.join(_small(cut(first)), "component").withColumn("stays", (F.col("__i").eqNullSafe(F.col("f.__i"))) & (F.col("text_hash") == F.col("f.text_hash")))
-    of = cut(named.groupBy("__i", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"))
-    rows = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    met = rows.join(_small(of), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("text_hash")), "left")
-    single = met.where("stays IS NULL").select(*df.columns)
-    if of.where("stays").isEmpty():
-        return single
-    again = rows.join(of.where("stays"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("text_hash")), "left_semi")
-    return single.unionByName(again.groupBy(id_col, "__h").agg(F.min(F.struct(*df.columns)).alias("r")).select("r.*"))
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    ids, text = (F.col(names[df.columns.index(c)]) for c in (id_col, text_col))
+    base = df.toDF(*names)
+    placed = ngram_join(base.select(ids.alias("__i"), text.alias("__t")), "__i", "__t", width, percent)
+    placed = placed.where("component IS NOT NULL").select("__i", F.col("text_hash").alias("__th"), "component")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("__i").isNull().alias("no"), "__i", "__th")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    named = placed.join(_small(cut(first)), "component").withColumn("stays", (F.col("__i").eqNullSafe(F.col("f.__i"))) & (F.col("__th") == F.col("f.__th")))
+    of = cut(named.groupBy("__i", "__th").agg(F.max("stays").alias("__stays"), F.count("*").alias("times")).where("NOT __stays OR times > 1").drop("times"))
+    rows = base.withColumn("__h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    met = lambda found, how: rows.join(_small(found), ids.eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__th")), how)
+    out = met(of, "left").where("__stays IS NULL").select(*names)
+    again = cut(of.where("__stays"))
+    if not again.isEmpty():
+        out = out.unionByName(met(again, "left_semi").groupBy(ids.alias("__i"), "__h").agg(F.min(F.struct(*names)).alias("r")).select("r.*"))
+    return out.toDF(*df.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
