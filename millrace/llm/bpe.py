@@ -9,11 +9,13 @@ met (a bounded table that is emptied when full), so a round only sees new ones.
 Supported files: `tokenizers` JSON with a BPE model, no decoder, and the
 normaliser and splitter of word_bpe_49k.json (NFC, white space, lower case;
 contractions, letters, single digits, other runs; byte symbols; word ends).
-Added tokens are found in the raw text first, as that library does.
+Added tokens are found in the raw text first, as that library does. Any other
+file is an error, and so is one of that kind with parts that encode otherwise.
 
-Defined cases: null text is empty and has no tokens; rows pass through with
-their columns, but for those with an output's name; an empty table gives an
-empty result.
+Defined cases: null text is empty and has no tokens; repeated rows each have
+their tokens; very long texts are encoded alone; rows pass through with their
+columns, but for those with an output's name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -52,12 +54,29 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def unsupported(spec: dict) -> list[str]:
+    """The parts of a vocabulary file that encode otherwise than this module does."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = spec.get("model") or {}
+    fine = {
+        "normalizer": [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " ",
+        "pre_tokenizer": [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0].get("pattern") == {"Regex": _SPLIT} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex"),
+        "model": model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "decoder": spec.get("decoder") is None,
+        "added_tokens": not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"] for t in spec.get("added_tokens") or []),
+    }
+    return [k for k, ok in fine.items() if not ok]
+
+
 class Bpe:
     """A vocabulary and its merges as arrays."""
 
     def __init__(self, path: str, memo: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if odd := unsupported(spec):
+            raise ValueError(f"{path}: not supported: {', '.join(odd)}")
         model = spec["model"]
         vocab = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
@@ -166,7 +185,7 @@ class Bpe:
         """For each text its pieces' ids and tokens as texts, and the number of ids."""
         cut = []
         for text in texts:
-            spans = self.special.split(text) if self.special and "<|" in text else [text]
+            spans = self.special.split(text) if self.special and any(t in text for t in self.added) else [text]
             parts: list = []
             for j, span in enumerate(spans):
                 if j % 2:

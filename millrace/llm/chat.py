@@ -13,7 +13,9 @@ control string \l, its [ is \s, and LF inside a role \n. unescape() undoes it.
 
 Defined cases: null text and null role are empty; rows of one tree with the
 same turn follow each other by role, then text; repeated rows are separate
-turns; a null tree id is a tree of its own; nodes whose parent is missing
+turns; a null tree id is a tree of its own (not that of the name "null");
+other columns are not carried, whatever their names; very long texts are one
+turn each; branches that tie go to the smaller leaf id; nodes whose parent is missing
 are roots; nodes on a cycle have no root and are left out; an empty table
 gives an empty result.
 """
@@ -48,7 +50,7 @@ def reply_chain(df: DataFrame, tree: str = "conv_id", turn: str = "turn", role:
     rows = df.select(F.col(tree).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     spot = F.row_number().over(W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     rows = rows.withColumn("spot", spot)
-    name = lambda spot: F.concat_ws("/", F.coalesce(F.col("tree").cast("string"), F.lit("null")), spot.cast("string"))
+    name = lambda spot: F.concat_ws("/", F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("null")), spot.cast("string"))
     return rows.select("tree", name(F.col("spot")).alias("node"), F.when(F.col("spot") > 1, name(F.col("spot") - 1)).alias("parent"), "role", "text", F.char_length(F.coalesce("text", F.lit(""))).cast("double").alias("score"))
 
 

@@ -78,7 +78,8 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
     rows = rows.where(v.isNotNull() & F.coalesce(fine, F.lit(False)))
     h1, h2 = hash128(v)
     rows = cut(rows.select("id", "q", "v", h1.alias("h1"), h2.alias("h2")))
-    out_kind = f"query_id bigint, rank int, {id_col} bigint, score double"
+    out_id = id_col if id_col.lower() not in ("query_id", "rank", "score") else "candidate_id"
+    out_kind = f"query_id bigint, rank int, {out_id} bigint, score double"
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
     if dims is None:
         return df.sparkSession.createDataFrame([], out_kind)
@@ -178,7 +179,7 @@ def knn(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", ve
     best = found.withColumn("r", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, least)")).where(F.col("r") <= k + 1)
     each = best.join(kept, ["h1", "h2"]).where("id <> qid")
     each = each.withColumn("rank", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)")).where(F.col("rank") <= k)
-    return each.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+    return each.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias(out_id), "score")
 
 
 def op6_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
