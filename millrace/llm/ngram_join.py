@@ -52,8 +52,8 @@ _BITS = 52
 _TEXTS = 1 << (64 - _BITS)
 #: Parameters of work, not of the result: shingles in a bucket, bytes and texts of a block, texts in a group, texts that meet leaders
 #: in one place, rows broadcast; leaders of a group, links that a text keeps, shingles in a group, pairs of groups in a task, bytes of groups broadcast.
-BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 2_000_000, 4 << 20, 60_000, 256, 256, 300_000
-LEADERS, LINKS, GROUP_TOKENS, PAIRS, SMALL_BYTES = 32, 4, 100_000, 8, 48_000_000
+BUCKET_TOKENS, BLOCK_BYTES, BLOCK_TEXTS, GROUP_TEXTS, SALT_ROWS, SMALL_ROWS = 2_000_000, 4 << 20, 60_000, 256, 256, 50_000
+LEADERS, LINKS, GROUP_TOKENS, PAIRS, SMALL_BYTES = 32, 4, 100_000, 8, 12_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -213,7 +213,7 @@ def _set(x: bytes) -> np.ndarray:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df (a checkpoint of short rows), to be broadcast if it has at most SMALL_ROWS rows (some 40 MB); else joins shuffle it."""
+    """df (a checkpoint of short rows), to be broadcast if it has at most SMALL_ROWS rows (some 7 MB); else joins shuffle it."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
