@@ -57,39 +57,109 @@ def features(word: str) -> list[str]:
     return ["=" + w, *(w[:n] for n in _PREFIXES if len(w) >= n)]
 
 
-def _select(toxic: list[list[str]], clean: list[list[str]], clean_weight: float, of: dict[str, list[str]], least: int = 3, purity: float = 0.6) -> dict[str, float]:
-    """Features that toxic documents have nearly alone, with their (smoothed) share of toxic documents. of: each word's features."""
-    a: Counter = Counter()
-    for words in toxic:
-        a.update({f for w in set(words) for f in of[w]})
-    kept = {f for f, n in a.items() if n >= least}
-    near = {w: fs for w, found in of.items() if (fs := [f for f in found if f in kept])}
-    b: Counter = Counter()
-    for words in clean:
-        b.update({f for w in near.keys() & set(words) for f in near[w]})
-    share = {f: a[f] / (a[f] + clean_weight * b[f] + 1.0) for f in kept}
-    best = sorted((f for f in kept if share[f] >= purity), key=lambda f: (-a[f] * share[f], f))[:FEATURES]
-    return {f: share[f] for f in best}
-
-
-def _chains(texts: list[list[str]], toxic: bool, index: dict[str, int], pure: set[str], of: dict[str, list[str]]) -> tuple[list[list[list[int]]], list[list[int]]]:
+class Texts:
+    """Training texts as numbers of their words, so that a word is held once."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words: list[str] = []
+
+    def add(self, text: str) -> np.ndarray:
+        out = np.empty(0, np.int32) if not (found := _WORD.findall(text)) else np.fromiter((self.number.setdefault(w, len(self.number)) for w in found), np.int32, len(found))
+        if len(self.number) > len(self.words):
+            self.words += [w for w in dict.fromkeys(found) if self.number[w] >= len(self.words)]
+        return out
+
+    def of(self, numbers: np.ndarray) -> list[str]:
+        words = self.words
+        return [words[i] for i in numbers.tolist()]
+
+
+def _select(toxic: list[np.ndarray], clean: list[np.ndarray], clean_weight: float, texts: Texts, least: int = 3, purity: float = 0.6) -> dict[str, float]:
+    """Features that toxic documents have nearly alone, with their (smoothed) share of toxic documents. One kind of feature is held at a time."""
+    found: list[tuple[float, str, float]] = []
+    for kind in (0, *_PREFIXES):
+        names: dict[str, int] = {}
+        of = np.full(len(texts.words), -1, np.int32)
+        for i, w in enumerate(texts.words):
+            w = w.lower()
+            if not kind or len(w) >= kind:
+                of[i] = names.setdefault(w[:kind] if kind else "=" + w, len(names))
+        counts = []
+        for docs in (toxic, clean):
+            n = np.zeros(len(names) + 1, np.int64)  # the last one is for words without the feature
+            for numbers in docs:
+                n[np.unique(of[numbers])] += 1
+            counts.append(n[:-1])
+        a, b = counts
+        share = a / (a + clean_weight * b + 1.0)
+        good = set(np.flatnonzero((a >= least) & (share >= purity)).tolist())
+        found += [(-a[i] * share[i], f, float(share[i])) for f, i in names.items() if i in good]
+    return {f: share for _, f, share in sorted(found)[:FEATURES]}
+
+
+def _chains(docs: list[np.ndarray], toxic: bool, index: dict[str, int], pure: set[str], texts: Texts) -> tuple[list[list[list[int]]], list[list[int]]]:
     """Sequences of at most SEQUENCE words with a suspect word, and one without in every document: features' numbers, and labels."""
     seqs, labels = [], []
     none: list[int] = []
-    known = {w: fs for w, found in of.items() if (fs := [index[f] for f in found if f in index])}
-    bad = {w for w in known if toxic and any(f in pure for f in of[w])}
-    for words in texts:
+    known = {i: fs for i, w in enumerate(texts.words) if (fs := [index[f] for f in features(w) if f in index])}
+    bad = {i for i in known if toxic and any(f in pure for f in features(texts.words[i]))}
+    for numbers in docs:
         plain = True
-        for lo in range(0, len(words), SEQUENCE):
-            part = words[lo : lo + SEQUENCE]
-            found = [known.get(w, none) for w in part]
+        for lo in range(0, len(numbers), SEQUENCE):
+            part = numbers[lo : lo + SEQUENCE].tolist()
+            found = [known.get(i, none) for i in part]
             if any(found) or plain:
                 plain = plain and any(found)
                 seqs.append(found)
-                labels.append([int(w in bad) for w in part])
+                labels.append([int(i in bad) for i in part])
     return seqs, labels
 
 
+class Block:
+    """Training sequences, longest first: a place's row holds those that reach it."""
+
+    def __init__(self, seqs: list, labels: list, weight: np.ndarray):
+        self.n, self.width = len(seqs), max(1, len(seqs[0]))
+        size = np.array([len(s) for s in seqs])
+        self.live = [int((size > t).sum()) for t in range(self.width)]
+        self.spot = np.array([t * self.n + i for i, s in enumerate(seqs) for t, fs in enumerate(s) for _ in fs], dtype=np.int64)
+        self.feat = np.array([f for s in seqs for fs in s for f in fs], dtype=np.int64)
+        self.y = np.zeros((self.width, self.n))
+        for i, l in enumerate(labels):
+            self.y[: len(l), i] = l
+        self.weight = weight
+        self.mass = np.where(np.arange(self.width)[:, None] < size[None, :], weight[None, :], 0.0)
+        y, pair = self.y, self.mass[1:]
+        self.gold_t = np.array([(pair * ((y[:-1] == i) & (y[1:] == j))).sum() for i in (0, 1) for j in (0, 1)])
+        self.gold_s = np.array([(self.mass[0] * (y[0] == i)).sum() for i in (0, 1)])
+
+    def gradient(self, crf: Crf) -> np.ndarray:
+        """Of the weighted log-likelihood by weights, bias, start and transitions. Of two states only ratios matter, so forward and backward are one number a word."""
+        live, n, width = self.live, self.n, self.width
+        score = crf.bias + np.bincount(self.spot, weights=crf.weights[self.feat], minlength=n * width).reshape(width, n)
+        emit = np.exp(np.clip(score, -30, 30))
+        m00, m01, m10, m11 = np.exp(crf.trans).ravel().tolist()
+        fwd, bwd = np.ones((width, n)), np.ones((width, n))
+        fwd[0] = np.exp(crf.start[1] - crf.start[0]) * emit[0]
+        for t in range(1, width):
+            f = fwd[t - 1, : live[t]]
+            fwd[t, : live[t]] = emit[t, : live[t]] * (m01 + m11 * f) / (m00 + m10 * f)
+        for t in range(width - 2, -1, -1):
+            g = emit[t + 1, : live[t + 1]] * bwd[t + 1, : live[t + 1]]
+            bwd[t, : live[t + 1]] = (m10 + m11 * g) / (m00 + m01 * g)
+        post = fwd * bwd
+        post /= 1.0 + post
+        f, g = fwd[:-1], emit[1:] * bwd[1:]
+        both = [np.full_like(f, m00), m01 * g, m10 * f, m11 * f * g]
+        share = self.mass[1:] / sum(both)
+        miss = self.mass * (self.y - post)
+        toxic_start = float((self.weight * post[0]).sum())
+        start = self.gold_s - np.array([self.weight.sum() - toxic_start, toxic_start])
+        moves = self.gold_t - np.array([(share * x).sum() for x in both])
+        return np.concatenate([np.bincount(self.feat, weights=miss.ravel()[self.spot], minlength=len(crf.weights)), [miss.sum()], start, moves])
+
+
 class Crf:
     """start (2), trans (2 x 2), bias and weights of the toxic state, all as logarithms of factors."""
 
@@ -101,51 +171,16 @@ class Crf:
         self.memo: dict[str, float] = {}
 
     def fit(self, seqs: list, labels: list, weight: np.ndarray, rounds: int = 120, rate: float = 0.25, ridge: float = 1e-3) -> None:
-        """Gradient ascent (Adam) of the weighted mean log-likelihood.
-
-        Of two states only ratios matter, so forward and backward are one number
-        a word. Sequences are in order of length and a place's row holds those
-        that reach it.
-        """
+        """Gradient ascent (Adam) of the weighted mean log-likelihood, the gradient summed over blocks of sequences of like length."""
         order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-        seqs, labels, weight = [seqs[i] for i in order], [labels[i] for i in order], weight[order] / weight.sum()
-        n, width = len(seqs), max(1, len(seqs[0]))
-        size = np.array([len(s) for s in seqs])
-        live = [int((size > t).sum()) for t in range(width)]
-        spot = np.array([t * n + i for i, s in enumerate(seqs) for t, fs in enumerate(s) for _ in fs], dtype=np.int64)
-        feat = np.array([f for s in seqs for fs in s for f in fs], dtype=np.int64)
-        y = np.zeros((width, n))
-        for i, l in enumerate(labels):
-            y[: len(l), i] = l
-        mass = np.where(np.arange(width)[:, None] < size[None, :], weight[None, :], 0.0)
-        pair = mass[1:]
-        gold_t = np.array([(pair * ((y[:-1] == i) & (y[1:] == j))).sum() for i in (0, 1) for j in (0, 1)])
-        gold_s = np.array([(mass[0] * (y[0] == i)).sum() for i in (0, 1)])
+        weight = weight / weight.sum()
+        parts = [order[lo : lo + 2_048] for lo in range(0, len(order), 2_048)]
+        blocks = [Block([seqs[i] for i in part], [labels[i] for i in part], weight[part]) for part in parts]
         k = len(self.weights)
         state = [np.zeros(k + 7), np.zeros(k + 7)]
         for step in range(1, rounds + 1):
-            score = self.bias + np.bincount(spot, weights=self.weights[feat], minlength=n * width).reshape(width, n)
-            emit = np.exp(np.clip(score, -30, 30))
-            m00, m01, m10, m11 = np.exp(self.trans).ravel().tolist()
-            fwd, bwd = np.ones((width, n)), np.ones((width, n))
-            fwd[0] = np.exp(self.start[1] - self.start[0]) * emit[0]
-            for t in range(1, width):
-                f = fwd[t - 1, : live[t]]
-                fwd[t, : live[t]] = emit[t, : live[t]] * (m01 + m11 * f) / (m00 + m10 * f)
-            for t in range(width - 2, -1, -1):
-                g = emit[t + 1, : live[t + 1]] * bwd[t + 1, : live[t + 1]]
-                bwd[t, : live[t + 1]] = (m10 + m11 * g) / (m00 + m01 * g)
-            post = fwd * bwd
-            post /= 1.0 + post
-            f, g = fwd[:-1], emit[1:] * bwd[1:]
-            both = [np.full_like(f, m00), m01 * g, m10 * f, m11 * f * g]
-            share = pair / sum(both)
-            miss = mass * (y - post)
-            toxic_start = float((weight * post[0]).sum())
-            grad = np.concatenate([
-                np.bincount(feat, weights=miss.ravel()[spot], minlength=k) - ridge / k * self.weights,
-                [miss.sum()], gold_s - np.array([weight.sum() - toxic_start, toxic_start]), gold_t - np.array([(share * x).sum() for x in both]),
-            ])
+            grad = sum(b.gradient(self) for b in blocks)
+            grad[:k] -= ridge / k * self.weights
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.99 * state[1] + 0.01 * grad * grad
             move_by = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
@@ -255,22 +290,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = lambda y, n: there.where((F.col("__y") == y) & F.col("__h").isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(n)
     chosen = F.broadcast(pick(1, TOXIC_ROWS).unionByName(pick(0, CLEAN_ROWS)))  # at most TOXIC_ROWS + CLEAN_ROWS ids
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("__t")).withColumn("__h", F.xxhash64("__t")).join(chosen, ["__id", "__h"]).dropDuplicates(["__id"]).select("__id", "__y", "__t").collect()
-    rows = sorted(rows, key=lambda r: (r["__y"], str(r["__id"])))
-    toxic, clean = ([_WORD.findall(r["__t"]) for r in rows if r["__y"] == y] for y in (1, 0))
+    rows.sort(key=lambda r: (r["__y"], str(r["__id"])))
+    texts = Texts()
+    toxic, clean = ([texts.add(r["__t"]) for r in rows if r["__y"] == y] for y in (1, 0))
+    del rows
     if not toxic or not clean:
         return None
     per_clean = (sizes[0] / len(clean)) / (sizes[1] / len(toxic))
-    of = {w: features(w) for w in set().union(*toxic, *clean)}
-    share = _select(toxic, clean, per_clean, of)
+    share = _select(toxic, clean, per_clean, texts)
     if not share:
         return None
     crf = Crf({f: i for i, f in enumerate(share)})
     pure = {f for f, p in share.items() if p >= 0.75}
-    a, la = _chains(toxic, True, crf.index, pure, of)
-    b, lb = _chains(clean, False, crf.index, pure, of)
+    a, la = _chains(toxic, True, crf.index, pure, texts)
+    b, lb = _chains(clean, False, crf.index, pure, texts)
     i, j = (max(1, len(x) // SEQUENCES) for x in (a, b))
     crf.fit(a[::i] + b[::j], la[::i] + lb[::j], np.r_[np.full(len(a[::i]), float(i)), np.full(len(b[::j]), per_clean * j)])
-    table_ = [crf.summary(len(words), crf.marginals(words)[1]) for words in (*toxic, *clean)]
+    table_ = [crf.summary(len(x), crf.marginals(texts.of(x))[1]) for x in (*toxic, *clean)]
     crf.fit_head(np.array(table_), np.r_[np.ones(len(toxic)), np.zeros(len(clean))], np.r_[np.ones(len(toxic)), np.full(len(clean), per_clean)])
     crf.memo = {}
     return crf
