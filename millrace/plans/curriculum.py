@@ -431,14 +431,6 @@ def _(t):
     return m.select("n", F.round("acc", 6).alias("accuracy"), F.when(F.col("n") < 30, "too_few").when(F.col("acc") < 0.8, "low_accuracy").when(F.col("bad") > 0.2, "unsafe").otherwise("pass").alias("gate"))
 
 
-for _name, _least in (("gte08_reward_admission", 0.8), ("gte11_operator_promotion", 0.9)):
-
-    @query(_name, f"WITH m AS (SELECT lang, avg(quality) AS q, avg(toxic) AS x, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, array_to_string(list_filter([CASE WHEN q < {_least} THEN 'quality' END, CASE WHEN x > 0.1 THEN 'toxicity' END, CASE WHEN n < 40 THEN 'support' END], lambda v: v IS NOT NULL), ',') AS reasons FROM m")
-    def _(t, least=_least):
-        m = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("x"), F.count("*").alias("n"))
-        return m.select("lang", F.array_join(rows.failures(("quality", F.col("q") < least), ("toxicity", F.col("x") > 0.1), ("support", F.col("n") < 40)), ",").alias("reasons"))
-
-
 @query("nbk14_seeded_sample", "SELECT event_id FROM (SELECT event_id FROM events ORDER BY sha256('z' || event_id), event_id LIMIT 300) ORDER BY event_id")
 def _(t):
     return readers.selected(t.events.select("event_id"), "event_id", seed="z", limit=300)

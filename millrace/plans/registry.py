@@ -47,7 +47,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("corpus", "reports", "sequences", "retrieval", "scalars", "files", "programs", "curriculum", "extras"):
+    for module in ("corpus", "reports", "sequences", "retrieval", "scalars", "files", "programs", "curriculum", "extras", "gates"):
         importlib.import_module(f"millrace.plans.{module}")
 
 

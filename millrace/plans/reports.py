@@ -362,16 +362,6 @@ def _(t):
     return p.select("l_returnflag", F.round("F", 6).alias("f"), F.round("O", 6).alias("o"), d.alias("decision"))
 
 
-_GATES = {"gte05_promotion_gate": (0.4, "ALLOW", "BLOCK"), "gte09_promotion_decision": (0.55, "PROMOTE", "HOLD"), "gte13_candidate_decision": (0.5, "SUBMIT", "KEEP")}
-for _name, (_least, _yes, _no) in _GATES.items():
-
-    @query(_name, f"WITH m AS (SELECT o_orderpriority, avg((o_orderstatus = 'F')::INT) AS done, avg(o_totalprice) / 500000 AS score, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, array_to_string(list_filter([CASE WHEN done < 0.3 THEN 'few_done' END, CASE WHEN score < {_least} THEN 'low_score' END, CASE WHEN n < 500 THEN 'few_rows' END], lambda x: x IS NOT NULL), ',') AS reasons, CASE WHEN done >= 0.3 AND score >= {_least} AND n >= 500 THEN '{_yes}' ELSE '{_no}' END AS decision FROM m")
-    def _(t, least=_least, yes=_yes, no=_no):
-        m = t.orders.groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("done"), (F.avg("o_totalprice") / 500000).alias("score"), F.count("*").alias("n"))
-        reasons = rows.failures(("few_done", F.col("done") < 0.3), ("low_score", F.col("score") < least), ("few_rows", F.col("n") < 500))
-        return m.select("o_orderpriority", F.array_join(reasons, ",").alias("reasons"), F.when(F.size(reasons) == 0, yes).otherwise(no).alias("decision"))
-
-
 @query("gte07_firewall", "WITH m AS (SELECT c_mktsegment, avg(c_acctbal) - 4500 AS d, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, CASE WHEN abs(d) > 500 THEN 'reject' WHEN abs(d) > 100 OR n < 100 THEN 'investigate' ELSE 'allow' END AS policy FROM m")
 def _(t):
     m = t.customer.groupBy("c_mktsegment").agg((F.avg("c_acctbal") - 4500).alias("d"), F.count("*").alias("n"))
