@@ -7,7 +7,8 @@ pseudo-random numbers that gives A-Z the numbers of a-z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,19 @@ _R = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 20
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, giving what Arrow keeps for later back to the system at its end: workers outlive tasks and stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (xor-shift and multiply rounds)."""
     x = np.asarray(x, dtype=np.uint64)

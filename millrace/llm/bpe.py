@@ -32,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.arrow import released
 from millrace.llm.common import table
 
 #: The splitter's pattern, and white space as the normaliser's \s has it.
@@ -263,7 +264,13 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", what: str = "id
                     column = pa.array(ids, pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], pa.array(n_tokens, pa.int64()), column, pa.array(decoded, pa.string())], names=[*carried, "__n", "__ids", "__dec"])
 
-    done = rows.mapInArrow(run, ", ".join(x for x in (kinds, "__n bigint", second) if x))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            load(path).memo.clear()  # up to 150,000 words that would stay in the worker
+
+    done = rows.mapInArrow(released(task), ", ".join(x for x in (kinds, "__n bigint", second) if x))
     return done.toDF(*[c for _, c in keep], *mine)
 
 

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import mix64, sliced, text_shingles
+from millrace.llm.arrow import mix64, released, sliced, text_shingles
 from millrace.llm.common import cut, table
 from millrace.llm.components import components
 
@@ -261,7 +261,7 @@ def _stars(sets: DataFrame, slot: int, percent: int) -> DataFrame:
                     leaders.append((key, mine))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    return met.mapInArrow(run, "a string, b string")
+    return met.mapInArrow(released(run), "a string, b string")
 
 
 def _unions(grouped: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _token_rows(sets: DataFrame, *keep: str) -> DataFrame:
                 which = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(which) for i in range(len(keep))), pa.array(np.concatenate(tokens))], names=[*keep, "token"])
 
-    return sets.select(*keep, "tokens").mapInArrow(run, f"{kinds}, token bigint")
+    return sets.select(*keep, "tokens").mapInArrow(released(run), f"{kinds}, token bigint")
 
 
 def _across(sets: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _across(sets: DataFrame, percent: int) -> DataFrame:
                     yield _wire("|".join((keys[0], keys[-1], str(len(keys)))), keys, mix64(sig), sizes_, np.concatenate(tokens).astype(np.uint64), np.repeat(np.arange(len(keys)), sizes_), buckets)
                     lo, size = hi, 0
 
-    met = _exchange(unions.select("grp", "component", "tokens").mapInArrow(send, _WIRE_DDL))
+    met = _exchange(unions.select("grp", "component", "tokens").mapInArrow(released(send), _WIRE_DDL))
     open_ = met.join(unions.select(F.col("grp").alias("key"), "least"), "key").where(F.col("shared") * 100 >= F.col("least") * percent).select(F.col("key").alias("grp"))
     inside = cut(sets.join(_small(cut(open_)), "grp", "left_semi"))
     if inside.isEmpty():
@@ -410,7 +410,7 @@ def _opened(pairs: DataFrame, percent: int) -> DataFrame:
                         b.append(two["keys"][q])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    return pairs.mapInArrow(run, "a string, b string")
+    return pairs.mapInArrow(released(run), "a string, b string")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -481,7 +481,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         got = [of.get(k, (0, 0)) for k, _ in parts]
         return pa.table({"id": pa.array([i for _, i in parts], pa.string()), "key": pa.array([k or None for k, _ in parts], pa.string()), "n": pa.array([g[0] for g in got], pa.int64()), "shared": pa.array([g[1] for g in got], pa.int64())})
 
-    wire = docs.mapInArrow(blocks, _WIRE_DDL)
+    wire = docs.mapInArrow(released(blocks), _WIRE_DDL)
     answered = wire.groupBy("bucket").applyInArrow(_answer, _WIRE_DDL)
     rows = answered.groupBy("block").applyInArrow(rows_of, "id string, key string, n bigint, shared bigint")
     name = F.when(F.substring("id", 17, 1) == "=", F.substring(F.col("id"), 18, 1 << 30))
@@ -511,7 +511,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     "tokens": pa.array([token[start[i] : ends[i]].astype(np.int64).tobytes() for i in full], pa.binary()),
                 })
 
-    sets = chosen.mapInArrow(sets_of, "key string, n bigint, mins array<bigint>, tokens binary")
+    sets = chosen.mapInArrow(released(sets_of), "key string, n bigint, mins array<bigint>, tokens binary")
     sets = cut(sets.join(_small(likely.select("key")), "key", "left_semi").dropDuplicates(["key"]))
     links = None
     rest = sets

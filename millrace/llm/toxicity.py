@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import short_batches
+from millrace.llm.arrow import released, short_batches
 from millrace.llm.common import cut, table
 
 #: Bounds of the training sample: documents of each class, code points of one, words of a training sequence, features,
@@ -336,7 +336,7 @@ def score_texts(df: DataFrame, crf: Crf | None, text_col: str = "text", spans: b
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *out], names=[*carried, *(f"__o{i}" for i in range(len(out)))])
 
     more = "__o0 double, __o1 int" + (", __o2 array<struct<start: int, length: int, probability: double>>" if spans else "")
-    return rows.mapInArrow(run, kinds + more).toDF(*[c for _, c in keep], *mine)
+    return rows.mapInArrow(released(run), kinds + more).toDF(*[c for _, c in keep], *mine)
 
 
 def held_out(ids: Column) -> Column:
