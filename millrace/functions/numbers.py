@@ -41,6 +41,17 @@ def bucket(p: Column, buckets: int) -> Column:
     return F.least(F.lit(buckets - 1), F.floor(clamp(p) * buckets)).cast("int")
 
 
+def running_at_most(c: Column, limit: float, window: Window) -> Column:
+    """Whether the running sum of doubles is at most a limit, by their exact sum: added as doubles, 1000.00 in cents can come out above 1000.
+
+    Doubles that a decimal of 10 places holds are added as such; once one is met that it does not hold (NaN, 1e-12, 1e300), the sum of doubles decides.
+    """
+    near = c.try_cast("decimal(28,10)")
+    exact = F.when(near.cast("double") == c, near)
+    whole = F.count(exact).over(window) == F.count(c).over(window)
+    return F.when(whole, F.sum(exact).over(window) <= F.lit(limit).cast("decimal(28,10)")).otherwise(F.sum(c).over(window) <= limit)
+
+
 def salted_unit(salt: str, c: Column) -> Column:
     """A number in [0, 1] that is a pure function of salt and c."""
     return F.conv(F.substring(F.sha1(F.concat(F.lit(f"{salt}::"), c.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967295.0

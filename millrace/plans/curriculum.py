@@ -421,8 +421,8 @@ def _(t):
 @query("stm04_budget", "WITH c AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events) SELECT user_id, count(*) FILTER (WHERE spent <= 1000) AS within, count(*) FILTER (WHERE spent > 1000) AS over_ FROM c GROUP BY user_id")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = t.events.select("user_id", F.sum("value").over(w).alias("spent"))
-    return c.groupBy("user_id").agg(F.count_if(F.col("spent") <= 1000).alias("within"), F.count_if(F.col("spent") > 1000).alias("over_"))
+    c = t.events.select("user_id", num.running_at_most(F.col("value"), 1000, w).alias("within"))
+    return c.groupBy("user_id").agg(F.count_if("within").alias("within"), F.count_if(~F.col("within")).alias("over_"))
 
 
 @query("gte06_private_gate", f"WITH m AS (SELECT count(*) AS n, avg(quality) AS acc, avg(toxic) AS bad FROM {_D} WHERE {SPLIT_D} = 'holdout') SELECT n, round(acc, 6) AS accuracy, CASE WHEN n < 30 THEN 'too_few' WHEN acc < 0.8 THEN 'low_accuracy' WHEN bad > 0.2 THEN 'unsafe' ELSE 'pass' END AS gate FROM m")

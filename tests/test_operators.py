@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from millrace.functions import text as tx
 from millrace.operators import graphs, measures, retrieve, rows, sequences, sets, skyline, solvers
 from millrace.operators.ordering import positions
 from millrace.operators.thresholds import best_threshold
+from millrace.plans import registry
 from millrace.sources import readers, writers
 from millrace.streaming import streams
 
@@ -31,6 +33,20 @@ def test_interleave_and_ratio(spark):
     assert rows.share_capped(df, F.col("k") == "b", ["id"], 0.1).where("k = 'b'").count() == 0
 
 
+def test_budget_by_exact_sums(spark, tmp_path):
+    """Sums of cents that reach the limit exactly are within it, though doubles come out above."""
+    registry.load()
+    cents = [19235, 8278, 13549, 9286, 35750, 2082, 11820]
+    assert sum(cents) == 100_000
+    assert list(itertools.accumulate(x / 100 for x in cents))[-1] > 1000
+    values = {1: [x / 100 for x in cents] + [0.01], 2: [1000.0, 1e-12], 3: [None, 5.0, float("nan"), 1.0], 4: [1e300, -1e300, 7.0], 5: [None], 6: [1001.0, -1.0, 0.01]}
+    rows_ = [(u, i, v) for u, many in values.items() for i, v in enumerate(many)]
+    df = spark.createDataFrame(rows_, "user_id bigint, event_id bigint, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["user_id"]: (r["within"], r["over_"]) for r in registry.QUERIES["stm04_budget"](spark, str(tmp_path)).collect()}
+    assert got == {1: (7, 1), 2: (1, 1), 3: (1, 2), 4: (2, 1), 5: (0, 0), 6: (1, 2)}
+
+
 def test_splits(spark):
     df = spark.range(4000).withColumn("s", rows.split_by_hash(numbers.salted_unit("x", F.col("id")), {"a": 0.8, "b": 0.1, "c": 0.1}))
     n = {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
