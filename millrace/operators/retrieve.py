@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.operators.lineage import cut
+from millrace.operators.ordering import positions_by
 
 #: Rows of a block of vectors and of queries.
 BLOCK = 8_192
@@ -63,6 +64,60 @@ def dense_top_k(df: DataFrame, is_query: Column, key: str, vec: str, k: int, lab
     return ranked.withColumnRenamed("id", key)
 
 
+def structural_top_k(df: DataFrame, is_query: Column, key: str, exact: dict[str, float], near: str, weight: float, span: float, k: int) -> DataFrame:
+    """(query_id, key, score): the k rows of largest score, rounded to 6 places, ties to the smaller key; rows with the query's own key are left out.
+
+    The score is the weights of the exact columns (text, whole numbers or dates)
+    that agree, and weight * (1 - |difference| / span) of the near column (whole
+    numbers); it is null, and last, if one of these is null in either row.
+
+    No pairs of rows are made: rows that agree in all columns are one class, of
+    which only the smallest keys can be found. Of rows that agree with a query in
+    some exact columns, those nearest in the near column are ahead of all others,
+    whatever else agrees. So a class of queries meets, for each set of exact columns,
+    the few next values of the near column to both sides, by their position.
+    """
+    if min([weight, *exact.values()]) < 0 or weight / span < 1e-5:
+        raise ValueError("weights must not be negative, and a step of the near column must show in the rounded score")
+    cols = [f"e{i}" for i in range(len(exact))] + ["s"]
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[F.col(c).alias(n) for c, n in zip(exact, cols, strict=False)], F.col(near).cast("long").alias("s"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    ids = rows.groupBy(*cols, "id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    # A query's key is in so many classes at most; of any so many entries, k have another key.
+    enough = k + (ids.groupBy("id").count().agg(F.max("count")).head()[0] or 1)
+    first_of = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= enough
+    classes = cut(ids.withColumn("kept", first_of(cols, "id")).where("kept").drop("kept"))
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull()
+    levels = lambda names: F.explode(F.array(*[F.array(F.lit(str(bits)), *[F.col(c).cast("string") if bits >> i & 1 else F.lit("") for i, c in enumerate(names[:-1])]) for bits in range(1 << len(exact))]))
+    # Of each set of agreeing columns and value of the near column, the smallest keys.
+    held = classes.where(known).withColumn("g", levels(cols)).withColumn("kept", first_of(["g", "s"], "id")).where("kept")
+    values = cut(held.groupBy("g", "s").agg(F.collect_list(F.struct("id", "n", *cols)).alias("has")))
+    placed = positions_by(values, [F.col("g"), F.col("s")])
+    steps = placed.select("g", F.col("s").alias("qs"), F.explode(F.sequence(F.col("position") - enough, F.col("position") + enough)).alias("position"))
+    around = steps.join(placed.select("g", "position", "has"), ["g", "position"]).select("g", "qs", "has")
+
+    queries = rows.where("q").groupBy(*cols, "id").agg(F.least(F.count("*"), F.lit(k)).alias("m"))
+    queries = queries.select(F.col("id").alias("query_id"), "m", *[F.col(c).alias(f"q{c}") for c in cols], known.alias("known"))
+    own = [f"q{c}" for c in cols]
+    asked = queries.where("known").select(*own).distinct().withColumn("g", levels(own))
+    met = asked.join(around, ["g", "qs"]).select(*own, F.explode("has").alias("h")).select(*own, "h.*").distinct()
+    score = F.lit(0.0)
+    for c, w in zip(cols, exact.values(), strict=False):
+        score = score + w * (F.col(f"q{c}") == F.col(c)).cast("int")
+    score = score + weight * (1 - F.abs(F.col("qs") - F.col("s")) / span)
+    scored = met.select(*own, "id", "n", F.round(score, 6).alias("score"))
+    best = scored.withColumn("kept", first_of(own, F.desc("score"), "id")).where("kept").groupBy(*own).agg(F.collect_list(F.struct("id", "n", "score")).alias("best"))
+    found = queries.where("known").join(best, own).select("query_id", "m", F.explode("best").alias("b")).select("query_id", "m", "b.*")
+    # Without a score: the smallest keys of all for such queries, of such rows for the others.
+    for mine, theirs in ((F.col("known"), classes.where(~known)), (~F.col("known"), classes)):
+        least = theirs.orderBy("id").limit(enough).select("id", "n", F.lit(None).cast("double").alias("score"))
+        found = found.unionByName(queries.where(mine).select("query_id", "m").crossJoin(F.broadcast(least)))
+    copies = found.where("id <> query_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n") * F.col("m"), F.lit(k)))))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return copies.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", F.col("id").alias(key), "score")
+
+
 def lexical_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, text: str) -> DataFrame:
     """(qid, did, score): token Jaccard above 0, by an inverted index; texts are not shuffled, only tokens."""
     token_sets = lambda df, key: df.select(key, F.array_distinct(tx.tokens(F.col(text))).alias("w"))

@@ -132,10 +132,7 @@ def _(t):
 
 @query("top04_structural_top_k", "SELECT a.p_partkey AS query_id, b.p_partkey, round(0.35 * (a.p_type = b.p_type)::INT + 0.25 * (a.p_brand = b.p_brand)::INT + 0.4 * (1 - abs(a.p_size - b.p_size) / 50.0), 6)::DOUBLE AS score FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY score DESC, b.p_partkey) <= 3")
 def _(t):
-    q = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("qt"), F.col("p_brand").alias("qb"), F.col("p_size").alias("qs"))
-    s = 0.35 * (F.col("qt") == F.col("p_type")).cast("int") + 0.25 * (F.col("qb") == F.col("p_brand")).cast("int") + 0.4 * (1 - F.abs(F.col("qs") - F.col("p_size")) / 50.0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "p_partkey")
-    return t.part.join(q, F.col("query_id") != F.col("p_partkey")).select("query_id", "p_partkey", F.round(s, 6).alias("score")).withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
+    return retrieve.structural_top_k(t.part, F.col("p_partkey") % 50 == 0, "p_partkey", {"p_type": 0.35, "p_brand": 0.25}, "p_size", 0.4, 50.0, 3)
 
 
 @query("agg21_cluster_summary", "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share, n >= 30 AS promoted FROM n")

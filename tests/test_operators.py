@@ -47,6 +47,28 @@ def test_budget_by_exact_sums(spark, tmp_path):
     assert got == {1: (7, 1), 2: (1, 1), 3: (1, 2), 4: (2, 1), 5: (0, 0), 6: (1, 2)}
 
 
+def test_structural_top_k_makes_no_pairs(spark):
+    """Against brute force, with nulls, repeated and clashing keys and far values; and 30,000 queries of 60,000 rows."""
+    r = random.Random(3)
+    some = lambda values: r.choice([*values, None]) if r.random() < 0.2 else r.choice(values)
+    parts = [(some(range(150)), some("ab"), some("xyz"), some(range(-9, 90))) for _ in range(400)]
+    parts += [(1000 + i // 3, "a", "x", 5) for i in range(9)] + [(50, "a", "x", i) for i in range(4)]
+    df = spark.createDataFrame(parts, "id bigint, t string, b string, s int")
+    found = retrieve.structural_top_k(df, F.col("id") % 50 == 0, "id", {"t": 0.35, "b": 0.25}, "s", 0.4, 50.0, 3)
+    want = []
+    for q in {p[0] for p in parts if p[0] is not None and p[0] % 50 == 0}:
+        pairs = [(o[0], None if None in (*a, *o) else round(0.35 * (a[1] == o[1]) + 0.25 * (a[2] == o[2]) + 0.4 * (1 - abs(a[3] - o[3]) / 50.0), 6)) for a in parts if a[0] == q for o in parts if o[0] not in (None, q)]
+        want += [(q, *p) for p in sorted(pairs, key=lambda p: (p[1] is None, -(p[1] or 0), p[0]))[:3]]
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in found.collect())
+    # Many rows of one class: each meets a few others.
+    many = spark.range(60_000).select("id", F.lit("a").alias("t"), F.lit("x").alias("b"), F.lit(7).alias("s"))
+    found = retrieve.structural_top_k(many, F.col("id") % 2 == 0, "id", {"t": 0.35, "b": 0.25}, "s", 0.4, 50.0, 3)
+    assert found.count() == 90_000
+    assert {(x["id"], x["score"]) for x in found.where("query_id = 0").collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}
+    few = retrieve.structural_top_k(df.limit(0), F.lit(True), "id", {"t": 0.35, "b": 0.25}, "s", 0.4, 50.0, 3)
+    assert few.count() == 0
+
+
 def test_splits(spark):
     df = spark.range(4000).withColumn("s", rows.split_by_hash(numbers.salted_unit("x", F.col("id")), {"a": 0.8, "b": 0.1, "c": 0.1}))
     n = {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
