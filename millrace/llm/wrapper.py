@@ -24,9 +24,9 @@ Scale: the pages' trees travel in a short form (tags, marks, text lengths and
 64-bit hashes; no text) and meet their host's pivot, and pages their host's
 template, in the worker: from a broadcast table if all templates are small,
 else from a row that goes ahead of the host's pages, of which hosts of many
-have several parts. All pages take part with all their elements. Where two
-trees are large, children are matched by equal subtrees at both ends and then
-by kind and rank instead of by the largest matching, which takes linear time;
+have several parts. All pages take part with all their elements. The matching
+is the largest one for trees of any size: sizes are computed once for each two
+shapes of subtrees, and lists of children are aligned row by row with numpy;
 below DEEPEST levels, text counts for the ancestor there.
 
 Defined cases: null html is empty and has no text; a null or odd url is a host of
@@ -40,9 +40,10 @@ empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from html import unescape
 
@@ -55,9 +56,8 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import short_batches
 from millrace.llm.common import cut, table
 
-#: Parameters: pages that must agree, and for a template inside of articles; characters of a long block; nodes of two trees
-#: whose matching is the largest one; levels of a tree; bytes of templates broadcast, else pages of a host that follow one template row.
-LEAST_PAGES, MANY_PAGES, LONG, MANY_NODES, DEEPEST, SMALL_BYTES, SALT_PAGES = 3, 5, 100, 300, 200, 8_000_000, 20_000
+#: Parameters: pages that must agree, and for a template inside of articles; characters of a long block; levels of a tree; bytes of templates broadcast, else pages of a host that follow one template row.
+LEAST_PAGES, MANY_PAGES, LONG, DEEPEST, SMALL_BYTES, SALT_PAGES = 3, 5, 100, 200, 8_000_000, 20_000
 
 # Element kinds of HTML, and words that mark boilerplate.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -357,66 +357,122 @@ def parents(tree: Tree) -> list[int]:
     return out
 
 
-def _run(a: Tree, b: Tree, x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """Pairs of two runs of like leaves: equal ones at both ends first, the others by order."""
+class _Shapes:
+    """The shapes of subtrees (their kinds, without texts), by number, and the size of the largest matching of two of them: trees have few shapes, however many nodes."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.kind: list[tuple[str, str]] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.count: list[int] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def of(self, tree: Tree, kids: list[list[int]]) -> list[int]:
+        """Each node's shape."""
+        out = [0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            below = tuple(out[k] for k in kids[i])
+            key = (tree[i][0], below)
+            if key not in self.known:
+                self.known[key] = len(self.kind)
+                self.kind.append(tree[i][0])
+                self.kids.append(below)
+                self.count.append(1 + sum(self.count[k] for k in below))
+            out[i] = self.known[key]
+        return out
+
+    def size(self, s: int, t: int) -> int:
+        if self.kind[s] != self.kind[t]:
+            return 0
+        if s == t:
+            return self.count[s]
+        if (s, t) not in self.sizes:
+            x, y = self.kids[s], self.kids[t]
+            lo, hi = _ends(x, y)
+            x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+            ends = self.count[s] - sum(self.count[k] for k in x)
+            self.sizes[s, t] = ends + (int(_row(np.zeros(len(y) + 1, np.int64), x, self.gains(x, y))[-1]) if x and y else 0)
+        return self.sizes[s, t]
+
+    def gains(self, x: tuple[int, ...], y: tuple[int, ...]) -> dict[int, np.ndarray]:
+        """Of each shape in x, its sizes with those of y."""
+        turn = {t: k for k, t in enumerate(dict.fromkeys(y))}
+        codes = np.array([turn[t] for t in y])
+        return {s: np.array([self.size(s, t) for t in turn], dtype=np.int64)[codes] for s in dict.fromkeys(x)}
+
+    def pairs(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places in x and y that the largest matching pairs, of several the one that is first in x and y. Of the table of sizes, one row in about sqrt(len(x)) is held."""
+        gains, step = self.gains(x, y), math.isqrt(len(x)) + 1
+        starts = [np.zeros(len(y) + 1, np.int64)]
+        for k in range(step, len(x) + 1, step):
+            starts.append(_row(starts[-1], x[k - step : k], gains))
+        got, p, q = [], len(x), len(y)
+        for k in range(len(starts) - 1, -1, -1):
+            rows = [starts.pop()]
+            for s in x[k * step : (k + 1) * step]:
+                rows.append(_row(rows[-1], (s,), gains))
+            while p > k * step and q:
+                row, above = rows[p - k * step], rows[p - k * step - 1]
+                if row[q] == above[q]:
+                    p -= 1
+                elif row[q] == row[q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    got.append((p, q))
+        return got[::-1]
+
+
+def _row(row: np.ndarray, x: tuple[int, ...], gains: dict[int, np.ndarray]) -> np.ndarray:
+    """A row of the table of sizes, len(x) rows on."""
+    for s in x:
+        after = np.empty_like(row)
+        after[0] = 0
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gains[s]), out=after[1:])
+        row = after
+    return row
+
+
+def _ends(x: Sequence[int], y: Sequence[int]) -> tuple[int, int]:
+    """How many are equal at the start and, of the rest, at the end. Equal subtrees there are paired in some largest matching."""
     lo = 0
-    while lo < len(x) and lo < len(y) and a[x[lo]][2] == b[y[lo]][2]:
+    while lo < len(x) and lo < len(y) and x[lo] == y[lo]:
         lo += 1
     hi = 0
-    while hi < len(x) - lo and hi < len(y) - lo and a[x[-1 - hi]][2] == b[y[-1 - hi]][2]:
+    while hi < len(x) - lo and hi < len(y) - lo and x[-1 - hi] == y[-1 - hi]:
         hi += 1
-    ends = list(zip(x[len(x) - hi :], y[len(y) - hi :], strict=True))
-    return [*zip(x[: len(x) - hi], y[: len(y) - hi], strict=False), *ends]
+    return lo, hi
 
 
 def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs of nodes of a and b, roots first, of the largest matching that keeps order and parents."""
+    """Simple tree matching: pairs of nodes of a and b, roots first, of the largest matching that keeps order and parents, whatever the trees' sizes."""
     if not a or not b or a[0][0] != b[0][0]:
         return []
     ka, kb = children(a), children(b)
-    if len(a) * len(b) > MANY_NODES**2:
-        return ranked(a, b, ka, kb)
-    size: dict[tuple[int, int], int] = {}
-    moves: dict[tuple[int, int], list] = {}
-
-    def grow(i: int, j: int) -> int:
-        if a[i][0] != b[j][0]:
-            return 0
-        if (i, j) in size:
-            return size[i, j]
-        x, y = ka[i], kb[j]
-        if not x or not y:
-            size[i, j] = 1
-            moves[i, j] = []
-            return 1
-        if all(not ka[p] for p in x) and all(not kb[q] for q in y) and len({a[p][0] for p in x} | {b[q][0] for q in y}) == 1:
-            moves[i, j] = _run(a, b, x, y)
-            size[i, j] = 1 + min(len(x), len(y))
-            return size[i, j]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(1, len(x) + 1):
-            row, above = best[p], best[p - 1]
-            for q in range(1, len(y) + 1):
-                row[q] = max(above[q], row[q - 1], above[q - 1] + grow(x[p - 1], y[q - 1]))
-        got, p, q = [], len(x), len(y)
-        while p and q:
-            if best[p][q] == best[p - 1][q]:
-                p -= 1
-            elif best[p][q] == best[p][q - 1]:
-                q -= 1
-            else:
-                p, q = p - 1, q - 1
-                got.append((x[p], y[q]))
-        moves[i, j] = got[::-1]
-        size[i, j] = 1 + best[-1][-1]
-        return size[i, j]
-
-    grow(0, 0)
+    ha, hb = subtrees(a, ka), subtrees(b, kb)
+    shapes = None
     pairs, todo = [], [(0, 0)]
     while todo:
-        pair = todo.pop()
-        pairs.append(pair)
-        todo += moves.get(pair, [])
+        i, j = todo.pop()
+        pairs.append((i, j))
+        x, y = ka[i], kb[j]
+        lo, hi = _ends([ha[p] for p in x], [hb[q] for q in y])
+        todo += zip(x[:lo], y[:lo], strict=True)
+        todo += zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)
+        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+        if not x or not y:
+            continue
+        if len(x) == len(y) == 1:
+            if a[x[0]][0] == b[y[0]][0]:
+                todo.append((x[0], y[0]))
+            continue
+        if not any(ka[p] for p in x) and not any(kb[q] for q in y) and len({a[p][0] for p in x} | {b[q][0] for q in y}) == 1:
+            todo += zip(x, y, strict=False)
+            continue
+        if shapes is None:
+            shapes = _Shapes()
+            sa, sb = shapes.of(a, ka), shapes.of(b, kb)
+        todo += [(x[p], y[q]) for p, q in shapes.pairs(tuple(sa[p] for p in x), tuple(sb[q] for q in y))]
     return pairs
 
 
@@ -428,33 +484,6 @@ def subtrees(tree: Tree, kids: list[list[int]]) -> list[int]:
     return out
 
 
-def ranked(a: Tree, b: Tree, ka: list[list[int]], kb: list[list[int]]) -> list[tuple[int, int]]:
-    """match() of large trees in linear time: equal subtrees at both ends of two lists of children meet; of the rest, the n-th child of a kind meets the n-th of that kind."""
-    sa, sb = subtrees(a, ka), subtrees(b, kb)
-    pairs, todo = [], [(0, 0)]
-    while todo:
-        i, j = todo.pop()
-        pairs.append((i, j))
-        x, y = ka[i], kb[j]
-        lo = 0
-        while lo < len(x) and lo < len(y) and sa[x[lo]] == sb[y[lo]]:
-            lo += 1
-        hi = 0
-        while hi < len(x) - lo and hi < len(y) - lo and sa[x[-1 - hi]] == sb[y[-1 - hi]]:
-            hi += 1
-        todo += zip(x[:lo], y[:lo], strict=True)
-        todo += zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)
-        like: dict[tuple[str, str], list[int]] = {}
-        for p in x[lo : len(x) - hi]:
-            like.setdefault(a[p][0], []).append(p)
-        turn = {kind: iter(found) for kind, found in like.items()}
-        for q in y[lo : len(y) - hi]:
-            p = next(turn.get(b[q][0], iter(())), None)
-            if p is not None:
-                todo.append((p, q))
-    return pairs
-
-
 def tally(pivot: Tree, page: Tree) -> dict[int, list[int]]:
     """Of each pivot node that the page has: 1, whether the text is equal, characters of unequal text, characters of text below that the pivot lacks."""
     met = {j: i for i, j in match(pivot, page)}

@@ -134,6 +134,42 @@ def test_match_against_brute_force():
         assert [j for _, j in in_order] == sorted(j for _, j in pairs)
 
 
+def test_large_trees_match_as_small_ones_do():
+    """The largest matching, in order, for trees of any size: rows of one more cell and boxes that only one side has do not shift the others."""
+
+    def table(n, seed):
+        r = random.Random(seed)
+        boxes = lambda k: r.choice(["<p>{0}</p>", "<ul><li>{0}<li>x</ul>", "<ul><li>{0}</ul>", "<h3>{0}</h3>"]).format(f"{seed} {k}")
+        return wrapper.skeleton(wrapper.parse(f"<div>{''.join(boxes(k) for k in range(n))}</div>"))[0]
+
+    def by_table(a, b):
+        """Of two lists of children that are at most two levels deep."""
+        ka, kb = wrapper.children(a), wrapper.children(b)
+        x, y = ka[1], kb[1]
+        row = [0] * (len(y) + 1)
+        for i in x:
+            last, row = row, [0]
+            for j, q in enumerate(y):
+                row.append(max(row[-1], last[j + 1], last[j] + (1 + min(len(ka[i]), len(kb[q])) if a[i][0] == b[q][0] else 0)))
+        return 2 + row[-1]
+
+    for n in (5, 40, 150, 400):
+        a, b = table(n, "a"), table(n + n // 7, "b")
+        pairs = wrapper.match(a, b)
+        assert len(pairs) == by_table(a, b)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        up, known = [wrapper.parents(t) for t in (a, b)], set(pairs)
+        assert all(a[i][0] == b[j][0] and ((i, j) == (0, 0) or (up[0][i], up[1][j]) in known) for i, j in pairs)
+        assert [j for _, j in sorted(pairs)] == sorted(j for _, j in pairs)
+
+
+def test_large_trees_that_differ_at_all_levels():
+    one, two = ("".join(f"<div class={c}>" + "<p>x</p>" * (k % n) + "<div>" for k in range(150)) for c, n in (("a", 3), ("a", 4)))
+    a, b = (wrapper.skeleton(wrapper.parse(x))[0] for x in (one, two))
+    assert max(n[1] for n in a) == wrapper.DEEPEST
+    assert len(wrapper.match(a, b)) == 1 + wrapper.DEEPEST + sum(min(k % 3, k % 4) for k in range(wrapper.DEEPEST // 2))
+
+
 def test_templates_ahead_of_pages(spark, monkeypatch):
     """Without a broadcast, and hosts cut in parts, the result is the same."""
     pages = [(f"h{i % 3}", f"<div class=a><div>menu of h{i % 3}</div></div><div class=b><p>{words(i, 30)}</p><p>{words(-i, 3)}</p></div>") for i in range(60)]
